@@ -63,19 +63,38 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return v
 
 
+class Words(dict):
+    """Ids of words as bytes, made by the library's model when first asked for; up to KEPT are kept."""
+
+    def __init__(self, model, dtype: str):
+        super().__init__()
+        self.tokenize, self.dtype = model.tokenize, dtype
+        # byte-level form: printable bytes stand for themselves, the others follow from U+0100 on
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = iter(range(0x100, 0x200))
+        self.form = {b: b if b in printable else next(rest) for b in range(256)}
+
+    def __missing__(self, word: str) -> bytes:
+        tokens = self.tokenize(word.encode().decode("latin-1").translate(self.form))
+        ids = np.array([t.id for t in tokens], dtype=self.dtype).tobytes()
+        if len(self) < KEPT and len(word) <= KEPT_CHARS:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """The tokenizers library, with the words of plain Latin text kept in a table.
 
-    A text whose characters are all below U+0250 (but U+0130) is its own NFC form and is lower-cased
+    A text whose characters are all below U+0180 (but U+0130) is its own NFC form and is lower-cased
     character by character, so its words can be taken one by one; other texts, and those
     that may hold a special token, go to the library whole.
     """
 
-    PLAIN = re.compile("[^\x00-įı-ɏ]|<\\|")
-    LETTERS = "a-zA-Zªµºà-öø-ɏÀ-ÖØ-ß"
-    NUMBERS = "0-9²³¹¼½¾"
+    BEYOND = re.compile("[^\x00-\u012f\u0131-\u017f]")
+    LETTERS = "a-zA-Z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f\xc0-\xd6\xd8-\xde"
+    NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
     SPACES = "\x09-\x0d\x20\x85\xa0"
-    WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}{SPACES}]+")
+    WORD = re.compile(f"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{NUMBERS}]|[^{LETTERS}{NUMBERS}{SPACES}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -83,7 +102,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.kept: dict[str, bytes] = {}
+        self.words = Words(self.library.model, self.dtype)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -91,16 +110,9 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.PLAIN.search(text):
+        if "<|" in text or not text.isascii() and self.BEYOND.search(text):
             return self.whole(text)
-        words, known = self.WORD.findall(text.lower()), self.kept
-        if fresh := list(set(words).difference(known)):
-            new = {w: np.array(e.ids, dtype=self.dtype).tobytes() for w, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False))}
-            if len(known) + len(new) <= KEPT:
-                known.update((w, i) for w, i in new.items() if len(w) <= KEPT_CHARS)
-            if not known.keys() >= new.keys():
-                known = {w: new[w] if w in new else known[w] for w in set(words)}
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, self.WORD.findall(text.lower())))
 
 
 @lru_cache(maxsize=2)
