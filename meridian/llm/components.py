@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import cut
+from meridian.llm.common import written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a long, b long)`` to ``(v long, label long)``, label the least vertex reachable.
 
     Each round hooks every vertex to its least neighbour, follows parents twice
-    and contracts the edges, so the vertex count at least halves; every round
-    ends in a checkpoint in the shared folder. Only vertices with an edge to another
+    and contracts the edges, so the vertex count at least halves; every step
+    is written in the shared folder and read again, so that neither lineage nor size estimates grow. Only vertices with an edge to another
     vertex appear. Nulls, self loops and repeated edges are ignored; no edges give an empty table.
     """
     spark = edges.sparkSession
 
+    def cut(df: DataFrame) -> DataFrame:
+        return written(df, "components")[0]
+
     def tidy(df: DataFrame) -> DataFrame:
         return cut(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
