@@ -142,6 +142,27 @@ def test_lines_against_brute_force(spark):
     assert found == want
 
 
+def test_sketches_keep_similar_lines(spark):
+    """Bounds from sketches reject no pair at the wanted similarity or above, and most of the others."""
+    rng, letters = random.Random(5), "abcdefgh ijklm nopq"
+    texts = ["ab", "abcdefgh"]
+    for n in (30, 90, 400, 1500):
+        base = [rng.choice(letters) for _ in range(n)]
+        for edits in (0, 1, 2, 3, 5, n // 8, n // 3):
+            t = list(base)
+            for at in rng.sample(range(n), edits):
+                t[at] = rng.choice(letters)
+            texts.append("".join(t))
+    texts = sorted(set(texts))
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in texts]
+    k = line_dedup.sketched(spark.createDataFrame(list(enumerate(texts)), "l long, line string"))
+    a, b = (k.select(F.col("l").alias(x), F.struct("n", "s0", "s1", "s2", "s3").alias("k" + x)) for x in "ab")
+    kept = {(r.a, r.b) for r in a.join(b, F.expr("a < b") & line_dedup._may_be_similar("ka", "kb")).collect()}
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    similar = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert similar and similar <= kept and len(kept) < len(pairs) / 2
+
+
 def test_vectors(spark):
     rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=6)]) for i in range(300)]
     rows += [(300, rows[0][1]), (301, rows[0][1]), (302, None), (303, []), (304, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (305, [float("nan")] * 6), (306, [0.0] * 6), (None, rows[3][1]), (307, [1.0, 2.0]), (308, rows[0][1])]
