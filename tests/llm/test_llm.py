@@ -163,6 +163,25 @@ def test_sketches_keep_similar_lines(spark):
     assert similar and similar <= kept and len(kept) < len(pairs) / 2
 
 
+def joined_lines(spark, texts):
+    """Whether each text, as a document of one line, is dropped for the first one."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [tuple(x) for x in r.dropped] for r in line_dedup.decisions(docs).collect()}
+    return [found[i] == [(0, 0, 0)] for i in range(1, len(texts))]
+
+
+def test_long_lines_without_spaces(spark):
+    """Long lines that differ in their first eight characters are found by what follows."""
+    rnd = random.Random(9)
+    for between, n in (("\t", 20), ("", 30), ("/", 60), ("é", 20)):
+        rest = between.join("".join(rnd.choices("abcdefghijklmnop0123456789", k=6)) for _ in range(n))
+        assert joined_lines(spark, [f"2024-01-01{between}{rest}", f"2025-01-01{between}{rest}", rest[::-1]]) == [True, False]
+    text = "Ünï cödé and plain text of some length, " + "x" * 5
+    hashes = spark.createDataFrame([(t,) for t in (text, text.encode("ascii", "ignore").decode(), "short", "exactly8")], "t string")
+    for r in hashes.select(line_dedup.shingle_hashes(F.col("t")).alias("h"), F.transform(line_dedup.shingles(F.col("t")), lambda x: F.xxhash64(x)).alias("w")).collect():
+        assert r.h == r.w
+
+
 def test_vectors(spark):
     rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=6)]) for i in range(300)]
     rows += [(300, rows[0][1]), (301, rows[0][1]), (302, None), (303, []), (304, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (305, [float("nan")] * 6), (306, [0.0] * 6), (None, rows[3][1]), (307, [1.0, 2.0]), (308, rows[0][1])]
