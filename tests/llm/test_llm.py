@@ -182,6 +182,12 @@ def test_long_lines_without_spaces(spark):
         assert r.h == r.w
 
 
+def test_rules_of_any_length(spark):
+    """Lines of repeated content have equal sets of shingles at any length."""
+    for unit in ("-", "* ", "ha "):
+        assert joined_lines(spark, [unit * 24, unit * 200, "=" * 300]) == [True, False]
+
+
 def test_vectors(spark):
     rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=6)]) for i in range(300)]
     rows += [(300, rows[0][1]), (301, rows[0][1]), (302, None), (303, []), (304, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (305, [float("nan")] * 6), (306, [0.0] * 6), (None, rows[3][1]), (307, [1.0, 2.0]), (308, rows[0][1])]
