@@ -17,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridian.llm.common import cut
+
 SENTENCE = re.compile(r"[^.!?\n。！？]+")
 TOKEN = re.compile(r"[^\W_]+")
 STEM = 5
-#: Documented bound of the fit: so many labelled documents of either class, by hash of doc_id, and so many characters of each.
-FIT_POSITIVE, FIT_NEGATIVE, FIT_CHARS = 3000, 5000, 20_000
+#: Documented bound of the fit: so many labelled documents of either class, by hash of doc_id, each whole.
+FIT_POSITIVE, FIT_NEGATIVE = 3000, 5000
+#: Memory bound of the fit: of either class no further document is taken once those taken have so many characters.
+FIT_TOTAL = 20_000_000
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -120,17 +124,28 @@ def fit(docs: list[tuple[str, int]], steps: int = 120, rate: float = 0.3, l1: fl
     return Model({names[i]: float(x[i]) for i in np.nonzero(np.abs(x[:-1]) > 1.0)[0]}, float(x[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVE, negatives: int = FIT_NEGATIVE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVE, negatives: int = FIT_NEGATIVE, total: int = FIT_TOTAL) -> Model:
     """Fit on at most ``positives`` and ``negatives`` labelled documents that are not held out.
 
     The sample is the least hashes of doc_id, so it is the same on every run; labels other than 0 and 1 and
-    null texts are left out. Its size bound holds at any input size.
+    null texts are left out. Texts are read whole: where a class has more than ``total`` characters, fewer
+    documents of it are taken, in the same order, and never a part of one. So the size bound holds at any input size.
+    A row that is repeated counts once.
     """
     known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out("doc_id")).withColumn("at", F.xxhash64("doc_id"))
     ids = [known.where(F.col("toxic") == y).orderBy("at", "doc_id").limit(n) for y, n in ((1, positives), (0, negatives))]
     chosen = F.broadcast(ids[0].union(ids[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    rows = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).join(chosen, "doc_id").where("text is not null").select("doc_id", "text", "toxic").limit(positives + negatives).collect()
-    return fit([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where("text is not null")
+    named = ["at", "doc_id", "h"]
+    rows = cut(rows.select("toxic", F.xxhash64("doc_id").alias("at"), "doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), "text"))
+    spent, taken = {0: 0, 1: 0}, []
+    for r in rows.drop("text").dropDuplicates(named).orderBy(named).limit(positives + negatives).collect():
+        if spent[r.toxic] < total:
+            taken.append((r.at, r.doc_id, r.h))
+            spent[r.toxic] += r.n
+    keep = rows.sparkSession.createDataFrame(taken, "at long, doc_id long, h long")
+    rows = rows.join(F.broadcast(keep), named, "left_semi").dropDuplicates(named)
+    return fit([(r.text, r.toxic) for r in sorted(rows.select("doc_id", "text", "toxic").collect(), key=lambda r: (r.doc_id, r.text))])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:

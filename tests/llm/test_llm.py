@@ -233,6 +233,31 @@ def test_toxicity_held_out(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out))
 
 
+def test_toxicity_fits_whole_texts(spark):
+    """Sentences after a long clean beginning are learned from, and the memory bound takes fewer texts, not parts."""
+    rnd = random.Random(4)
+    words = [a + b + c for a in "bdfglm" for b in "aeiou" for c in ("n", "rt", "sk")]
+
+    def clean(n):
+        return ". ".join(" ".join(rnd.choices(words, k=6)) for _ in range(n))
+
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:80]
+    texts = [(i, clean(1100) + (". you vile scum. " + clean(3) if k % 2 else ". " + clean(3))) for k, i in enumerate(ids)]
+    assert min(t.find("vile scum") for _, t in texts[1::2]) > 20_000
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.score("you vile scum") > 0.5 and model.score(clean(20)) < 0.5
+    assert all((model.score(t) >= 0.5) == bool(k % 2) for k, (_, t) in enumerate(texts))
+    seen, whole = [], toxicity.fit
+    try:
+        toxicity.fit = lambda pairs: seen.extend(pairs) or whole(pairs)
+        toxicity.train(docs, labels, total=200_000)
+    finally:
+        toxicity.fit = whole
+    assert 0 < len(seen) < 40 and {t for t, _ in seen} <= {t for _, t in texts} and {y for _, y in seen} == {0, 1}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
