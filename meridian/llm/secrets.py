@@ -21,7 +21,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "guess")
 #: Any name that speaks of a credential, then a value without blanks: what the estimate is asked about.
-CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|bearer)["']?\x20*[:=]\x20*(?:["']([^"'\s]{4,128})["']|([^"'\s]{4,128}))""", re.A)
+CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|bearer)["']?\x20*[:=]\x20*(?:["']([^"'\s]{4,}+)["']|([^"'\s]{4,}+))""", re.A)
 HINT = re.compile(r"pass|pwd|pin|secret|token|api|auth|credential|private|bearer")
 #: A value that takes 10**8 guesses or more is reported.
 LEAST_LOG10 = 8.0
@@ -42,6 +42,8 @@ OFFSET = (0.0, 1.5, 1.8, 2.3)
 KEYS = {c: (x + OFFSET[y], y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d")
 
+LONGEST_DATE = 10
+
 
 def _beside(a: str, b: str) -> bool:
     p, q = KEYS.get(a), KEYS.get(b)
@@ -52,10 +54,11 @@ def _class_size(s: str) -> int:
     return max(1, 26 * any(c.islower() for c in s) + 26 * any(c.isupper() for c in s) + 10 * any(c.isdigit() for c in s) + 33 * any(not c.isalnum() for c in s))
 
 
-@lru_cache(maxsize=20_000)
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, enough: float = math.inf) -> float:
     """log10 of the guesses the cheapest segmentation takes; 0 for an empty value.
 
+    Where that is ``enough`` or more, the scan may stop early and give any number from ``enough`` up to it.
+
     ``cost[j]`` is the least over all segments ending at j. Lengths of walks and repeats at each end
     are known from the scan, brute force extends one character at a time, so a value of n
     characters takes n steps of bounded work.
@@ -85,9 +88,24 @@ def guess_cost(value: str) -> float:
         if walk >= 3:
             best = min(best, cost[j - walk] + segment + math.log10(47) + 0.5 * math.log10(4) * (walk - 1))
         cost[j] = best
+        if j % 32 == 0 and best >= enough:
+            # a segment over j begins in the walk or repeat that ends here, or not further back than a word or date is long
+            least = min(cost[max(0, j - max(LONGEST_WORD, LONGEST_DATE, walk, same)) : j + 1])
+            if least >= enough:
+                return least
     return cost[n]
 
 
+@lru_cache(maxsize=20_000)
+def _cached(value: str, least: float) -> bool:
+    return guess_cost(value, least) >= least
+
+
+def _costly(value: str, least: float) -> bool:
+    """Whether a value takes ``least`` or more; only short ones are remembered."""
+    return _cached(value, least) if len(value) <= 128 else guess_cost(value, least) >= least
+
+
 def find(text: str | None, least: float = LEAST_LOG10) -> list[tuple[int, int, int]]:
     """All spans as (start, end, kind), code points, end exclusive, by start and then kind; base kinds stay whatever the estimate says."""
     if not text:
@@ -102,7 +120,7 @@ def find(text: str | None, least: float = LEAST_LOG10) -> list[tuple[int, int, i
         for m in CONTEXT.finditer(text):
             at = 1 if m[1] is not None else 2
             a, b = m.span(at)
-            if b not in ends and (a, b) not in taken and guess_cost(m[at]) >= least:
+            if b not in ends and (a, b) not in taken and _costly(m[at], least):
                 out.append((a, b, 3))
     return sorted(out, key=lambda s: (s[0], s[2], s[1]))
 
@@ -111,7 +129,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: flo
     """``doc_id, found``: an array of (start, end, kind) of each whole text, one row a document.
 
     Null and empty texts find nothing; repeated rows each give a row; an empty table gives none.
-    The text itself is read only. Values of up to 128 characters are estimated.
+    The text itself is read only. Values of any length are estimated, and their spans are whole.
     """
 
     def run(batches):

@@ -220,6 +220,16 @@ def test_secret_costs():
     assert secrets.find("pwd: xK9#mQ2$vL, password=password123456 secret: hunter") == [(5, 16, 3), (17, 40, 0)]
 
 
+def test_secrets_of_any_length():
+    rnd = random.Random(6)
+    value = "".join(rnd.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789-_", k=300))
+    assert secrets.find(f'auth: "{value}"') == [(7, 307, 3)] and secrets.find(f"bearer={value} x") == [(7, 307, 3)]
+    assert secrets.find(f"pwd='{'z' * 5000}'") == []
+    for n in (31, 32, 33, 64, 100, 400):
+        for v in ("a" * n, value[:n], "password" * n, "qwertyuiop" * n, "x9#" * 4 + "a" * n, value[:40] + "1" * n):
+            assert (secrets.guess_cost(v, 8.0) >= 8) == (secrets.guess_cost(v) >= 8)
+
+
 def test_mix_budgets(spark):
     taken = mixing.mix(odd(spark)).groupBy("source", "target").agg(F.sum("taken").alias("n")).collect()
     assert all(r.n == int(r.target) for r in taken)
