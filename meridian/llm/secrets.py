@@ -40,8 +40,9 @@ LEET = str.maketrans("4301$5@7", "aeoissat")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 OFFSET = (0.0, 1.5, 1.8, 2.3)
 KEYS = {c: (x + OFFSET[y], y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
-DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d")
-
+_MONTH, _DAY, _YEAR = r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])", r"(?:19|20)\d\d"
+#: Each form of a date, looked for at every place: dates may overlap, or begin alike.
+DATES = [re.compile(f"(?=({x}))") for x in (rf"{_YEAR}([-/._]?){_MONTH}\2{_DAY}", rf"{_DAY}([-/._]?){_MONTH}\2{_YEAR}", rf"{_DAY}([-/._]?){_MONTH}\2\d\d", _YEAR)]
 LONGEST_DATE = 10
 
 
@@ -59,18 +60,19 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
 
     Where that is ``enough`` or more, the scan may stop early and give any number from ``enough`` up to it.
 
-    ``cost[j]`` is the least over all segments ending at j. Lengths of walks and repeats at each end
-    are known from the scan, brute force extends one character at a time, so a value of n
-    characters takes n steps of bounded work.
+    ``cost[j]`` is the least over all segments ending at j. Of the walks that end there, of three keys and
+    more, the best start is carried along, since each grows by the same cost a key. So are the starts of repeats,
+    except those that an earlier one undercuts: its lead only grows. Brute force extends one character at a time.
     """
     n, low = len(value), value.lower()
     leet = low.translate(LEET)
     per_char = math.log10(_class_size(value))
     segment = math.log10(2)  # the choice of a further segment
     starts: dict[int, list[tuple[int, float]]] = {}
-    for m in DATE.finditer(low):
-        starts.setdefault(m.end(), []).append((m.start(), math.log10(365 * 120 if m.end() - m.start() > 4 else 120)))
+    for m in (m for date in DATES for m in date.finditer(low)):
+        starts.setdefault(m.end(1), []).append((m.start(), math.log10(365 * 120 if m.end(1) - m.start() > 4 else 120)))
     cost, walk, same = [0.0] * (n + 1), 0, 0
+    step, walked, repeats = 0.5 * math.log10(4), math.inf, []
     for j in range(1, n + 1):
         best = cost[j - 1] + per_char  # one brute-force character more
         for size in range(3, min(LONGEST_WORD, j) + 1):
@@ -84,9 +86,16 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
         same = same + 1 if j > 1 and low[j - 1] == low[j - 2] else 1
         walk = walk + 1 if j > 1 and (_beside(low[j - 2], low[j - 1]) or ord(low[j - 1]) - ord(low[j - 2]) in (1, -1)) else 1
         if same >= 3:
-            best = min(best, cost[j - same] + segment + per_char + math.log10(same))
+            tried, repeats, least = [*repeats, j - 3] if same > 3 else [j - 3], [], math.inf
+            for i in tried:
+                c = cost[i] + math.log10(j - i)
+                if c < least:
+                    least = c
+                    repeats.append(i)
+            best = min(best, least + segment + per_char)
         if walk >= 3:
-            best = min(best, cost[j - walk] + segment + math.log10(47) + 0.5 * math.log10(4) * (walk - 1))
+            walked = min(walked + step if walk > 3 else math.inf, cost[j - 3] + 2 * step)
+            best = min(best, walked + segment + math.log10(47))
         cost[j] = best
         if j % 32 == 0 and best >= enough:
             # a segment over j begins in the walk or repeat that ends here, or not further back than a word or date is long

@@ -230,6 +230,38 @@ def test_secrets_of_any_length():
             assert (secrets.guess_cost(v, 8.0) >= 8) == (secrets.guess_cost(v) >= 8)
 
 
+def test_secret_costs_against_all_segmentations():
+    """The cost is the least of every way to write a value as segments."""
+    seg, beside, date = np.log10(2), secrets._beside, re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d)")
+
+    def segments(value, per_char):
+        low = value.lower()
+        if len(value) == 1:
+            yield per_char
+        for form, extra in ((low, 0.0), (low.translate(secrets.LEET), 0.6)):
+            if len(low) >= 3 and form in secrets.RANK:
+                yield seg + np.log10(secrets.RANK[form] + 1) + extra + (np.log10(2) if value != low else 0)
+        if date.fullmatch(low):
+            yield seg + np.log10(365 * 120 if len(low) > 4 else 120)
+        if len(low) >= 3 and len(set(low)) == 1:
+            yield seg + per_char + np.log10(len(low))
+        if len(low) >= 3 and all(beside(x, y) or abs(ord(x) - ord(y)) == 1 for x, y in zip(low, low[1:])):
+            yield seg + np.log10(47) + 0.5 * np.log10(4) * (len(low) - 1)
+
+    def least(value):
+        per_char, cost = np.log10(secrets._class_size(value)), [0.0]
+        for j in range(1, len(value) + 1):
+            cost.append(min(cost[i] + c for i in range(j) for c in segments(value[i:j], per_char)))
+        return cost[-1]
+
+    rnd = random.Random(8)
+    parts = ["password", "fghjkl", "coffee", "eeee", "Summer", "20", "201", "2012", "12", "1", "11", "/", "-", "qwe", "asdf", "dragon", "nnnn", "abc", "cba", "321", "4", "$", "x", "Z", "019", "99", "p4ss", "zzzzzz", "1999-12-31"]
+    values = ["passwordfghjkl", "coffeeeeeee", "120121999", "11111111111111", "3120120101"] + ["".join(rnd.choices(parts, k=rnd.randint(1, 6))) for _ in range(1500)]
+    for v in values:
+        assert abs(secrets.guess_cost(v) - least(v)) < 1e-9, v
+    assert secrets.guess_cost("passwordfghjkl") < 4.5
+
+
 def test_mix_budgets(spark):
     taken = mixing.mix(odd(spark)).groupBy("source", "target").agg(F.sum("taken").alias("n")).collect()
     assert all(r.n == int(r.target) for r in taken)
