@@ -120,6 +120,18 @@ class _Input:
         return (b"".join(out), pos - len(z.unused_data)) if z.eof or most else None
 
 
+def _begins(f: _Input, pos: int) -> bool:
+    """Whether a record's member starts at ``pos``; its headers are decoded to their end, however long they are."""
+    most = 65536
+    while True:
+        began = f.member(pos, most)
+        if began is None or not began[0].startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n")):
+            return False
+        if b"\r\n\r\n" in began[0] or len(began[0]) < most:
+            return headers(began[0]) is not None
+        most *= 4
+
+
 def records(path: str, start: int, end: int):
     """Decoded records whose members start in bytes ``start`` to ``end`` of the file."""
     f, pos = _Input(path), start
@@ -130,8 +142,7 @@ def records(path: str, start: int, end: int):
             pos += max(1, len(window) - len(MAGIC) + 1)
             continue
         pos += hit
-        began = f.member(pos, 65536)
-        if began and headers(began[0]):
+        if _begins(f, pos):
             break
         pos += 1
     while pos < min(end, f.size):
@@ -193,7 +204,10 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
 
 
 def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of the archives that ``manifest(file, bytes)`` names, by byte ranges of ``split_bytes``."""
+    """The records of the archives that ``manifest(file, bytes, records)`` names, by byte ranges of ``split_bytes``.
+
+    The rows are written once, and a file of which another number of records was read than its manifest says is an error.
+    """
     ranges = manifest.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("start"))
     n = ranges.count()
     names = [x.split()[0] for x in FIELDS.split(", ")]
@@ -203,17 +217,23 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
             for file, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows = []
                 for raw in records(file, start, start + split_bytes):
-                    rows.append(parse(raw))
+                    rows.append(parse(raw) | {"file": file})
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
-    return ranges.select("file", "start").repartition(max(1, min(n, 20_000))).mapInArrow(run, ", ".join(f"{c} {FIELDS.split(', ')[i].split()[1]}" for i, c in enumerate(names)))
+    layout = ", ".join(f"{c} {FIELDS.split(', ')[i].split()[1]}" for i, c in enumerate(names)) + ", file string"
+    rows, _ = written(ranges.select("file", "start").repartition(max(1, min(n, 20_000))).mapInArrow(run, layout), "warc-rows")
+    counted = rows.groupBy("file").agg(F.count("*").alias("n"))
+    wrong = manifest.join(counted, "file", "left").where(F.coalesce("n", F.lit(0)) != F.col("records")).select("file", "records", "n").first()
+    if wrong:
+        raise ValueError(f"{wrong.file}: {wrong.n or 0} records read, {wrong.records} written")
+    return rows.drop("file")
 
 
-SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
+SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("file", pa.string())])
 
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -76,6 +76,23 @@ def test_warc_copies(spark):
     assert warc.archived(pages.where("false")).count() == 0
 
 
+def test_warc_long_headers(spark, tmp_path):
+    """Records whose headers are longer than any first look are found at a range's start, and lost ones are an error."""
+    rnd = random.Random(7)
+    urls = ["u", *("http://x/" + "".join(rnd.choices("abcdefghijkl0123456789", k=n)) for n in (70_000, 300_000, 1_500_000))]
+    for url in urls[1:]:
+        assert [(r.page_id, r.url) for r in warc.archived(spark.createDataFrame([(1, url, "body")], "page_id long, url string, html string")).collect()] == [(1, url)]
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join(warc.record(i, u, b"b", 1, warc.base32_sha1(hashlib.sha1(b"b").hexdigest())) for i, u in enumerate(urls * 2)))
+    size = path.stat().st_size
+    manifest = [(f"file://{path}", size, 8), (f"file://{path}", size, 9)]
+    for step in (10_007, 200_000):
+        first, more = (spark.createDataFrame([m], "file string, bytes long, records long") for m in manifest)
+        assert sorted(r.page_id for r in warc.read(first, step).collect()) == list(range(8))
+        with pytest.raises(ValueError, match="8 records read, 9 written"):
+            warc.read(more, step)
+
+
 def test_golay_meets():
     rnd = np.random.default_rng(5)
     x = rnd.integers(0, 1 << 23, 3000)
