@@ -24,7 +24,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-copy group stays."""
+    """One document of each near-copy group stays; copies are op9_simhash's, of four bits at most."""
     return simhash.keep_one(docs)
 
 
@@ -46,7 +46,7 @@ STAGES = [
     ("sentencepiece", encode_texts),
 ]
 
-#: Stages with a trained model, MinHash and union-find have no SQL form; tests hold run() against brute force.
+#: Stages with a trained model, MinHash and union-find have no SQL form; the test of run() checks ids and the form of hashes, not brute force.
 ORACLE_SQL = None
 
 
