@@ -106,9 +106,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
         return d.select("id", F.transform("vec", lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x * scale).cast("double")).otherwise(x * scale)).alias("vec")).where(F.forall("vec", lambda x: F.abs(x) < float("inf")))
 
     asked = scaled(queries).groupBy("id").agg(F.min("vec").alias("vec"))
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_ROWS))
-    q = pack(asked.repartition(blocks), QUERY_ROWS).select("dim", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.monotonically_increasing_id().alias("block"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).repartition(min(blocks, parts), "block").sortWithinPartitions("block")
+    q = pack(asked, QUERY_ROWS, ("block",)).select("dim", "block", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
     q = cut(q)
     chunks = pack(scaled(candidates), CHUNK_ROWS)
 
@@ -119,26 +120,33 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
                 yield pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([ids]), pa.array([vecs]), pa.array([codes.tobytes()]), pa.array([lo.tobytes()]), pa.array([hi.tobytes()])], ["dim", "ids", "vecs", "codes", "lo", "hi"])
 
     file = chunks.mapInArrow(cells, "dim long, ids binary, vecs binary, codes binary, lo binary, hi binary")
-    # every block of queries meets every chunk of its length: blocks are repeated once per share of the chunks
-    shares = max(1, 2 * spark.sparkContext.defaultParallelism // blocks)
-    spread = F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")
+    # every block of queries meets every chunk of its length; a pair of block and share is one group, so more blocks make more tasks, not fewer
+    shares = max(1, -(-2 * max(parts, spark.sparkContext.defaultParallelism) // blocks))
+    file = file.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
+    file = file.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     q = q.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    pairs = q.join(file.withColumn("share", spread), ["dim", "share"]).select("block", "dim", "q_ids", "q_vecs", "ids", "vecs", "codes", "lo", "hi")
+    pairs = q.join(file, ["dim", "block", "share"]).select("block", "share", "dim", "q_ids", "q_vecs", "ids", "vecs", "codes", "lo", "hi")
 
     def run(batches):
-        state: dict[int, tuple] = {}
+        at, state = None, {}
+
+        def done():
+            rows = [(int(ids[i]), v, -s) for ids, _, best in state.values() for i, r in enumerate(best.rows) for s, v in r]
+            state.clear()
+            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["query_id", "vec_id", "score"])] if rows else []
+
         for b in batches:
-            for block, dim, qi, qv, ci, cv, codes, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
-                if block not in state:
+            for block, share, dim, qi, qv, ci, cv, codes, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
+                if at != (block, share, dim):  # the best of one group at a time are held; a group that comes again is ranked with it later
+                    yield from done()
+                    at = (block, share, dim)
+                if qi not in state:
                     ids, vecs = matrix(qi, qv, dim)
-                    state[block] = ids, vecs, Best(len(ids), k)
-                ids, vecs, best = state[block]
+                    state[qi] = ids, vecs, Best(len(ids), k)
+                ids, vecs, best = state[qi]
                 c_ids, exact = matrix(ci, cv, dim)
                 search_chunk(best, ids, vecs, c_ids, np.frombuffer(codes, dtype=np.uint8).reshape(-1, dim), np.frombuffer(lo).reshape(-1, dim), np.frombuffer(hi).reshape(-1, dim), exact)
-        for ids, _, best in state.values():
-            rows = [(int(ids[i]), v, -s) for i, r in enumerate(best.rows) for s, v in r]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["query_id", "vec_id", "score"])
+        yield from done()
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
