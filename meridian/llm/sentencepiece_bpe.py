@@ -11,6 +11,7 @@ frequent cuts are kept in a table.
 
 from __future__ import annotations
 
+import heapq
 import re
 import string
 import struct
@@ -29,6 +30,8 @@ MARK = "▁"
 KEPT, KEPT_CHARS = 500_000, 40
 KEPT_PAIRS = 500_000
 NEVER = float("-inf")
+#: Texts of more characters are merged with a heap.
+LONG = 64
 
 
 class Bpe:
@@ -66,6 +69,8 @@ class Bpe:
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE: merge the best-scored neighbouring pair, the leftmost of equals, until none is left."""
+        if len(text) > LONG:
+            return self._merged_long(text)
         s, score = list(text), self.score.get
         pairs = [score(a + b, NEVER) for a, b in zip(s, s[1:])]
         while pairs and (best := max(pairs)) > NEVER:
@@ -78,6 +83,26 @@ class Bpe:
                 pairs[i] = score(s[i] + s[i + 1], NEVER)
         return s
 
+    def _merged_long(self, text: str) -> list[str]:
+        """``merged`` with a heap of pairs, so that a run of n marks takes n log n steps."""
+        n, score = len(text), self.score.get
+        piece: list[str | None] = list(text)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(-s, i, text[i : i + 2]) for i in range(n - 1) if (s := score(text[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = after[i]
+            if piece[i] is None or j >= n or piece[i] + piece[j] != both:
+                continue  # one of the two was merged otherwise since
+            piece[i], piece[j], after[i] = both, None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (s := score(piece[a] + piece[b])) is not None:
+                    heapq.heappush(heap, (-s, a, piece[a] + piece[b]))
+        return [p for p in piece if p is not None]
+
     def compatible(self, left: str, right: str) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
