@@ -21,9 +21,9 @@ from meridian.llm.common import cut
 
 #: The fit reads this many vectors at most, by hash of id; lists aim at LIST_ROWS vectors; there are CENTROIDS at most.
 SAMPLE, LIST_ROWS, CENTROIDS = 20_000, 200, 4096
-REPLICAS, CLOSURE, DEGREE = 4, 1.10, 24
+REPLICAS, CLOSURE, DEGREE = 4, 1.15, 24
 #: The prune ratio is set so that this share of a sample's true neighbours is in the lists searched.
-AIM, AIM_QUERIES = 0.97, 200
+AIM, AIM_QUERIES = 0.94, 400
 QUERY_BLOCK, LIST_BLOCK, BUFFER = 256, 2048, 200_000
 
 
@@ -113,8 +113,12 @@ class Index:
                 out_c += own
         return np.array(out_r, dtype=np.int64), np.array(out_c, dtype=np.int64)
 
-    def lists(self, q: np.ndarray) -> np.ndarray:
-        """Centroids within the prune ratio of the nearest, found by best-first steps over the graph."""
+    def lists(self, q: np.ndarray, least_rows: int, rows: np.ndarray) -> np.ndarray:
+        """Centroids within the prune ratio of the nearest, found by best-first steps over the graph.
+
+        Where their lists hold fewer than ``least_rows`` vectors (``rows`` of each list), further lists are
+        taken in order of distance until that many may be found; replicas count as what they are, so all are taken if need be.
+        """
         c, q = self.centroids, lift_query(q[None], self.most)[0]
         seen = np.zeros(len(c), dtype=bool)
         dist = np.full(len(c), np.inf)
@@ -139,7 +143,12 @@ class Index:
             fresh = self.graph[i][~seen[self.graph[i]]]
             if len(fresh):
                 visit(fresh)
-        return np.nonzero(dist <= self.ratio * least)[0]
+        near = np.nonzero(dist <= self.ratio * least)[0]
+        if rows[near].sum() >= REPLICAS * least_rows or len(near) == len(c):
+            return near
+        order = np.argsort(np.sqrt(((c - q) ** 2).sum(axis=1)), kind="stable")
+        enough = int(np.searchsorted(np.cumsum(rows[order]), REPLICAS * least_rows)) + 1
+        return np.union1d(near, order[:enough])
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -149,7 +158,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec
     null or non-finite components and null ids take no part; only vectors of the most
     frequent length are indexed (the least such length on a tie). A repeated query id asks once, by its
     least vector; a repeated candidate id counts once a score. Empty tables give no rows. Every
-    vector is indexed; the fit alone is on a sample of SAMPLE vectors.
+    vector is indexed; the fit alone is on a sample of SAMPLE vectors. Components of any finite size are taken; a score that
+    overflows is infinite, and such ties go to the smaller id.
     """
     spark = queries.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -157,15 +167,18 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec
     def usable(df: DataFrame) -> DataFrame:
         return clean(df, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
 
-    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     all_ = usable(candidates)
-    shape = all_.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("most")).orderBy(F.desc("n"), "dim").first()
+    greatest = F.array_max(F.transform("vec", F.abs))
+    shape = all_.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(greatest).alias("unit")).orderBy(F.desc("n"), "dim").first()
     if shape is None:
         return spark.createDataFrame([], schema)
     all_ = all_.where(F.size("vec") == shape.dim)
     sample = all_.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()  # SAMPLE rows at most
-    index = spark.sparkContext.broadcast(Index(np.array([r.vec for r in sample]), shape.n, k, float(np.sqrt(shape.most))))
-    dim = shape.dim
+    # lists are found for vectors over the greatest component, so that no square overflows; scores are of the vectors as they are
+    unit, dim = shape.unit, shape.dim
+    squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / F.lit(unit)) * (x / F.lit(unit)))
+    most = float(np.sqrt(all_.agg(F.max(squares)).first()[0]))
+    index = spark.sparkContext.broadcast(Index(np.array([r.vec for r in sample]) / unit, shape.n, k, most))
 
     def vectors(b):
         return b.column(0).to_numpy(), b.column(1).values.to_numpy(zero_copy_only=False)[b.column(1).offsets[0].as_py() :][: b.num_rows * dim].reshape(-1, dim)
@@ -174,33 +187,38 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec
         flat = pa.array(np.ascontiguousarray(vec[rows]).ravel())
         return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), flat), pa.array(lists.astype(np.int64))], ["id", "vec", "list"])
 
+    def scale(vec):
+        """A query's own greatest component: which list is near depends on its direction alone."""
+        return np.abs(vec).max(axis=1, keepdims=True)
+
     def post(batches):
         for b in batches:
             if b.num_rows:
                 ids, vec = vectors(b)
-                yield listed(ids, vec, *index.value.assign(vec))
+                yield listed(ids, vec, *index.value.assign(vec / unit))
 
     def ask(batches):
         for b in batches:
             if b.num_rows:
                 ids, vec = vectors(b)
-                found = [index.value.lists(v) for v in vec]
+                found = [index.value.lists(v, k + 1, held.value) for v in vec / scale(vec)]
                 yield listed(ids, vec, np.repeat(np.arange(len(ids)), [len(f) for f in found]), np.concatenate(found))
 
     layout = "id long, vec array<double>, list long"
     postings = cut(all_.mapInArrow(post, layout))
     # a list that holds many copies is dealt out in shares: one count a list, bounded by CENTROIDS, comes to the driver
     sizes = {r.list: r.n for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    held = spark.sparkContext.broadcast(np.array([sizes.get(i, 0) for i in range(len(index.value.centroids))]))
     shares = F.array(*[F.lit(-(-sizes.get(i, 1) // LIST_BLOCK)) for i in range(len(index.value.centroids))])
     share = F.pmod(F.xxhash64("id", "vec"), F.element_at(shares, (F.col("list") + 1).cast("int"))).cast("long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = pack(postings.withColumn("share", share).repartition(parts, "list", "share").sortWithinPartitions("list", "share"), LIST_BLOCK, ("list", "share"))
     asked = usable(queries).where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec"))
-    asked = pack(asked.mapInArrow(ask, layout).repartition(parts, "list").sortWithinPartitions("list"), QUERY_BLOCK, ("list",))
+    asked = pack(asked.repartition(parts, "id").mapInArrow(ask, layout).repartition(parts, "list").sortWithinPartitions("list"), QUERY_BLOCK, ("list",))
     pairs = lists.select("list", "ids", "vecs").join(asked.select("list", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), "list")
 
     def run(batches):
-        held, size = [], 0
+        held, size, limit = [], 0, BUFFER
 
         def shrink():
             q, v, s = (np.concatenate(c) for c in zip(*held))
@@ -216,16 +234,18 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec
                     if not len(own):
                         continue
                     r = rough[i, own]
-                    if len(own) > k:  # a little below the kth, so that rounding loses none
+                    if len(own) > k and np.isfinite(r).all():  # a little below the kth, so that rounding loses none
                         bar = np.partition(r, len(r) - k)[len(r) - k]
                         own = own[r >= bar - 1e-9 * (1 + abs(bar))]
                     s = (c[own] * q[i]).sum(axis=1)  # summed in the same order wherever the vector stands
+                    s[np.isnan(s)] = -np.inf  # two overflows of unlike sign
                     at = np.lexsort((c_ids[own], -s))[:k]
                     held.append((np.full(len(at), q_ids[i]), c_ids[own][at], s[at]))
                     size += len(at)
-                if size > BUFFER:
+                if size > limit:
                     held = [shrink()]
                     size = len(held[0][0])
+                    limit = max(BUFFER, 2 * size)
         if held:
             q, v, s = shrink()
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
