@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence's probability is logistic in the words it holds; a document's is the noisy-or of
+A sentence's probability is logistic in the words it holds, measured from that of a sentence that says
+nothing: what is below FLOOR counts 0, so length alone makes no document toxic. A document's is the noisy-or of
 its sentences, 1 - prod(1 - p). Only document labels are learned from, and what is learned
 names the sentences that make a document toxic.
 """
@@ -25,7 +26,9 @@ STEM = 5
 #: Documented bound of the fit: so many labelled documents of either class, by hash of doc_id, each whole.
 FIT_POSITIVE, FIT_NEGATIVE = 3000, 5000
 #: Memory bound of the fit: of either class no further document is taken once those taken have so many characters.
-FIT_TOTAL = 20_000_000
+FIT_TOTAL = 8_000_000
+#: A sentence of this probability or less says nothing of its document.
+FLOOR = 0.1
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -51,7 +54,7 @@ class Model:
         self.weights, self.bias = weights, bias
         self.words = frozenset(w for w in weights if w[0] != "^")
         self.stems = frozenset(w[1:] for w in weights if w[0] == "^")
-        self.rest = math.log1p(math.exp(bias))  # -log(1 - p) of a sentence without known features
+        self.floor = -math.log1p(-FLOOR)
 
     def logit(self, low: str) -> float:
         return self.bias + sum(self.weights[w] for w in sorted(self.weights.keys() & features(low)))
@@ -60,11 +63,10 @@ class Model:
         """Noisy-or over the whole text; 0 for one without sentences."""
         low = (text or "").lower()
         words = set(TOKEN.findall(low))
-        parts = [s for s in SENTENCE.findall(low) if not s.isspace()]
-        if self.words.isdisjoint(words) and self.stems.isdisjoint([w[:STEM] for w in words if len(w) > STEM]):
-            return -math.expm1(-self.rest * len(parts))
-        z = [self.logit(s) for s in parts]
-        return -math.expm1(-sum(math.log1p(math.exp(v)) if v < 30 else v for v in z))
+        if self.bias < 0 and self.words.isdisjoint(words) and self.stems.isdisjoint([w[:STEM] for w in words if len(w) > STEM]):
+            return 0.0
+        z = [self.logit(s) for s in SENTENCE.findall(low) if not s.isspace()]
+        return -math.expm1(-sum(max(0.0, (math.log1p(math.exp(v)) if v < 30 else v) - self.floor) for v in z))
 
     def located(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
         """Spans (code points, end exclusive) of the sentences that score ``least`` or more."""
