@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is made.
+    Only where that setting is absent and the master is local (tests) a temporary folder is made; on a cluster
+    its absence is an error, since executors would each write to disks of their own.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
@@ -21,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
         if made.isDefined():
             root = made.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="meridian-")
             spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
