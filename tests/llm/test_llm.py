@@ -52,6 +52,45 @@ def test_bpe_equals_library():
         assert np.frombuffer(words(t), dtype=words.dtype).tolist() == ref.encode(t, add_special_tokens=False).ids
 
 
+def test_blank_runs():
+    """Runs of blanks take n log n steps; a million is no hang, and ids equal the library's."""
+    import sentencepiece
+
+    own, lib = sentencepiece_bpe.Bpe(tokenizer_path("piece_bpe_32k.model")), sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    rnd = random.Random(11)
+    texts = [" " * n for n in (1, 2, 15, 16, 17, 63, 64, 65, 100, 1000, 4097)] + [f"a{' ' * rnd.randint(60, 300)}{rnd.choice(['b', ',', '', chr(10), 'é'])}{' ' * rnd.randint(0, 90)}c" for _ in range(100)]
+    for t in [*texts, " " * 1_000_000 + "x"]:
+        assert np.frombuffer(own(t), dtype="<u4").tolist() == lib.encode(t, add_bos=True, add_eos=True)
+
+
+def test_sentencepiece_rows(spark):
+    """Every column of op4 against the library, on odd rows and on the table."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for docs, got in ((odd(spark), sentencepiece_bpe.round_trip(odd(spark), tokenizer_path("piece_bpe_32k.model"))), (table, QUERIES["op4_sentencepiece"](spark, SF))):
+        want = []
+        for i, t in docs.select("doc_id", "text").collect():
+            ids = lib.encode(t or "", add_bos=True, add_eos=True)
+            want.append((str(i), len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest()))
+        assert sorted(want) == sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect())
+
+
+def test_token_store_rows(spark):
+    """Every column of op5 against the library: starts, counts and checksums."""
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    start, want = 0, []
+    for r in docs:
+        ids = ref.encode(r.text or "", add_special_tokens=False).ids + [2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert want == sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op5_token_store"](spark, SF).collect())
+
+
 def test_varbyte_round_trip():
     for n in (0, 1, 5, 1000):
         v = np.random.default_rng(n).integers(0, 2**32, n, dtype=np.uint64) >> np.random.default_rng(n + 1).integers(0, 32, n, dtype=np.uint64)
@@ -125,6 +164,40 @@ def test_simhash_links(spark):
             assert find(comp[signed[i]]) == find(comp[signed[40 + 3 * i + j]])
 
 
+def test_simhash_rows(spark):
+    """Every column of op9 by brute force: fingerprints of whole texts, components of all pairs within 4 bits; nulls and odd rows, too."""
+    import xxhash
+
+    def fp(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
+        shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else [" ".join(words)] if words else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    for docs, got in ((odd(spark), simhash.near_duplicates(odd(spark))), (table, QUERIES["op9_simhash"](spark, SF))):
+        rows = [(r.doc_id, fp(r.text)) for r in docs.select("doc_id", "text").collect()]
+        f = sorted({x for _, x in rows})
+        parent = {x: x for x in f}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, x in enumerate(f):
+            for y in f[:i]:
+                if (x ^ y).bit_count() <= 4:
+                    parent[find(x)] = find(y)
+        least = {}
+        for i, x in rows:
+            if i is not None:
+                least[find(x)] = min(least.get(find(x), i), i)
+        want = sorted((str(i), f"{x:016x}", str(least.get(find(x)))) for i, x in rows)
+        assert want == sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got.collect())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.v: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -159,25 +232,57 @@ def test_lines_against_brute_force(spark):
     assert found == want
 
 
-def test_sketches_keep_similar_lines(spark):
-    """Bounds from sketches reject no pair at the wanted similarity or above, and most of the others."""
-    rng, letters = random.Random(5), "abcdefgh ijklm nopq"
-    texts = ["ab", "abcdefgh"]
-    for n in (30, 90, 400, 1500):
-        base = [rng.choice(letters) for _ in range(n)]
-        for edits in (0, 1, 2, 3, 5, n // 8, n // 3):
-            t = list(base)
-            for at in rng.sample(range(n), edits):
-                t[at] = rng.choice(letters)
-            texts.append("".join(t))
-    texts = sorted(set(texts))
-    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in texts]
-    k = line_dedup.sketched(spark.createDataFrame(list(enumerate(texts)), "l long, line string"))
-    a, b = (k.select(F.col("l").alias(x), F.struct("n", "s0", "s1", "s2", "s3").alias("k" + x)) for x in "ab")
-    kept = {(r.a, r.b) for r in a.join(b, F.expr("a < b") & line_dedup._may_be_similar("ka", "kb")).collect()}
-    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
-    similar = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert similar and similar <= kept and len(kept) < len(pairs) / 2
+def test_signatures_find_similar_lines(spark):
+    """Pairs at the wanted similarity or a little above share a key and have near sketches, nearly always; at any length."""
+    rng, letters, texts = random.Random(5), "abcdefgh ijklm nopqé日", []
+    for n in (24, 60, 150, 400, 1500, 6000):
+        for _ in range(60):
+            base = [rng.choice(letters) for _ in range(n)]
+            edited = list(base)
+            for at in rng.sample(range(n), max(1, round(n * 0.011))):
+                edited[at] = rng.choice(letters)
+            texts += ["".join(base), "".join(edited)]
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    sig = line_dedup._sketched(line_dedup._mins(spark.createDataFrame(list(enumerate(texts)), "l long, line string"), False))
+    rows = {r.l: (set(r["keys"]), r.s) for r in line_dedup._banded(sig, line_dedup.BANDS).groupBy("l", "s").agg(F.collect_set("key").alias("keys")).collect()}
+    similar = [i for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+
+    def near(x, y):
+        d = (x ^ y) & (2**64 - 1)
+        return ((d | d >> 1) & 0x5555555555555555).bit_count() <= line_dedup.APART
+
+    assert len(similar) > 150
+    assert sum(bool(rows[i][0] & rows[i + 1][0]) and near(rows[i][1], rows[i + 1][1]) for i in similar) >= 0.97 * len(similar)
+
+
+def test_large_families_of_lines(spark):
+    """Lines of one family, many of them apart by little less than the wanted similarity, in buckets over SMALL: at least 0.98 of the links' joins are found."""
+    rng = random.Random(12)
+    base = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(60)]
+    texts = set()
+    for _ in range(400):
+        own = list(base)
+        for at in rng.sample(range(60), rng.randint(0, 7)):
+            own[at] = "".join(rng.choices("abcdefghijklmnop", k=5))
+        texts.add(" ".join(own))
+    texts = sorted(texts)
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = len(texts) - len({find(i) for i in range(len(texts))})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = line_dedup.decisions(docs).where("n_kept = 0").collect()
+    assert want > 100 and 0.98 * want <= len(found) <= want
+    assert all(find(r.doc_id) == find(r.dropped[0].as_doc) for r in found)
 
 
 def joined_lines(spark, texts):
@@ -193,10 +298,6 @@ def test_long_lines_without_spaces(spark):
     for between, n in (("\t", 20), ("", 30), ("/", 60), ("é", 20)):
         rest = between.join("".join(rnd.choices("abcdefghijklmnop0123456789", k=6)) for _ in range(n))
         assert joined_lines(spark, [f"2024-01-01{between}{rest}", f"2025-01-01{between}{rest}", rest[::-1]]) == [True, False]
-    text = "Ünï cödé and plain text of some length, " + "x" * 5
-    hashes = spark.createDataFrame([(t,) for t in (text, text.encode("ascii", "ignore").decode(), "short", "exactly8")], "t string")
-    for r in hashes.select(line_dedup.shingle_hashes(F.col("t")).alias("h"), F.transform(line_dedup.shingles(F.col("t")), lambda x: F.xxhash64(x)).alias("w")).collect():
-        assert r.h == r.w
 
 
 def test_rules_of_any_length(spark):
@@ -230,6 +331,51 @@ def test_posting_list_recall(spark):
     assert hits >= 0.9 * len(found)
 
 
+def test_large_vectors(spark):
+    """Components near the greatest double: no square overflows on the way, every query has its full number of rows."""
+    rows = [(i, [float(x) for x in 1e200 * np.random.default_rng(i).normal(size=8)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = posting_lists.search(df.where("vec_id % 20 = 0"), df, 20).groupBy("query_id").count().collect()
+    assert len(got) == 10 and all(r["count"] == 20 for r in got)
+
+
+def test_ties_repeats_and_clashing_names(spark):
+    """Equal vectors rank by id, a repeated candidate id counts once (posting lists) or as often as it stands (exact), and columns named like the operators' own do no harm."""
+    unit = [1.0, 0.0, 0.0, 0.0]
+    rows = [(i, unit, "x", 1, [0.0]) for i in (0, 20, 3, 7, 7, 40)] + [(None, unit, None, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, rank int, vecs array<double>")
+    near = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in posting_lists.search(df.where("vec_id % 20 = 0"), df, 3).collect())
+    assert near == [(q, n + 1, v, 1.0) for q in (0, 20, 40) for n, v in enumerate([x for x in (0, 3, 7, 20, 40) if x != q][:3])]
+    exact = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in va_file.top_k(df.where("vec_id % 100 = 0"), df, 4).collect())
+    assert exact == [(0, 1, 3, 1 << 20), (0, 2, 7, 1 << 20), (0, 3, 7, 1 << 20), (0, 4, 20, 1 << 20)]
+
+
+def test_exact_search_in_blocks(spark):
+    """With many blocks of queries the pairs lie in many groups, and results are the same."""
+    rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    whole = sorted(va_file.top_k(df, df, 5).collect())
+    sizes = va_file.QUERY_ROWS, va_file.CHUNK_ROWS
+    try:
+        va_file.QUERY_ROWS, va_file.CHUNK_ROWS = 16, 50
+        assert sorted(va_file.top_k(df, df, 5).collect()) == whole
+    finally:
+        va_file.QUERY_ROWS, va_file.CHUNK_ROWS = sizes
+
+
+def test_base_secrets_by_brute_force(spark):
+    """The base columns of op2 over the whole table, by plain patterns."""
+    kinds = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 12), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16)]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = QUERIES["op2_secrets"](spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        found = [[(m.start(), n, m.end()) for m in re.finditer(p, texts[r.doc_id], re.A) if ok(m)] for n, (_, p, ok) in enumerate(kinds)]
+        base = ",".join(f"{kinds[n][0]}:{a}:{b}" for a, n, b in sorted(x for f in found for x in f))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(map(len, found)) and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) - {""} <= set(r.spans.split(","))
+
+
 def test_secret_costs():
     cost = secrets.guess_cost
     assert cost("") == 0 and cost("password") < 2 < cost("Summer2024") < 8 < cost("xK9#mQ2$vL")
@@ -292,6 +438,23 @@ def test_toxicity_held_out(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out))
 
 
+def test_length_alone_is_not_toxic():
+    """Neutral texts of 1 to 10,000 sentences score alike; one that offends is found and located in any of them."""
+    rnd = random.Random(3)
+    words = [a + b + c for a in "bdfglm" for b in "aeiou" for c in ("n", "rt", "sk")]
+
+    def clean(n):
+        return ". ".join(" ".join(rnd.choices(words, k=8)) for _ in range(n))
+
+    model = toxicity.fit([(clean(rnd.randint(1, 30)) + (". you vile scum. " + clean(2) if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)])
+    for n in (1, 10, 100, 1000, 10_000):
+        text = clean(n)
+        assert model.score(text) < 0.5 and model.score(f"{text}. you vile scum. {clean(1)}") >= 0.5
+        (a, b, p), = model.located(f"{text}. you vile scum.")
+        assert f"{text}. you vile scum."[a:b] == " you vile scum" and p >= 0.5
+    assert model.score("lorem ipsum dolor. " * 5000) < 0.5 and model.score("") == model.score(None) == 0
+
+
 def test_toxicity_fits_whole_texts(spark):
     """Sentences after a long clean beginning are learned from, and the memory bound takes fewer texts, not parts."""
     rnd = random.Random(4)
@@ -327,9 +490,81 @@ def test_oracle(spark, name):
     assert sorted(map(tuple, want[cols].values.tolist())) == sorted(map(tuple, got[cols].values.tolist()))
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_documents(spark, empty):
+    """All five stages, one after the other, on nulls, empty and very long texts, repeated rows and clashing names; and on an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = odd(spark).where("false") if empty else odd(spark)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert name == "sentencepiece" or docs.columns == columns
+    assert docs.count() == 0 if empty else docs.where("doc_id in (1, 4)").count() >= 2
+
+
 def test_pipeline(spark):
+    """run() against the five stages written plainly in Python; the model of the first stage is the operator's own."""
+    import sentencepiece
+
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = duckdb.sql(f"select doc_id from '{SF}/documents.parquet'").fetchall()
-    out = corpus_pipeline.run(spark, SF).toPandas()
-    assert len(out) and set(out.doc_id) <= {d[0] for d in docs} and (out.n_tokens >= 2).all()
-    assert len(re.sub("[0-9a-f]", "", out.ids_sha256.iloc[0])) == 0
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    kept = {r.doc_id: r for r in docs.collect() if model.score(r.text) < 0.5}
+    # lines: the components of similar ones, the first by document and place stays
+    lines = [(i, k, x.strip(" ")) for i in sorted(kept) for k, x in enumerate((kept[i].text or "").split("\n")) if x.strip(" ")]
+    texts = sorted({x for *_, x in lines})
+    sets, parent = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small >= 0.8 * large and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    at, first, out = {x: i for i, x in enumerate(texts)}, {}, {}
+    for i, k, x in lines:
+        if first.setdefault(find(at[x]), (i, k)) != (i, k):
+            out.setdefault(i, set()).add(k)
+    text = {i: "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in out.get(i, ())) if r.text is not None else None for i, r in kept.items()}
+    # near copies: one of each component of fingerprints within 4 bits
+    fps = {i: simhash.fingerprint(t) for i, t in text.items()}
+    group = {i: i for i in fps}
+
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i in sorted(fps):
+        for j in sorted(fps):
+            if j < i and (fps[i] ^ fps[j]).bit_count() <= 4:
+                a, b = sorted((top(i), top(j)))
+                group[b] = a
+    stay = sorted(i for i in fps if top(i) == i)
+    # mixing: budgets by water level, documents in order of their keys
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", text[i] or "")) for i in stay}
+    names = sorted({kept[i].source for i in stay}, key=lambda x: (x is None, x or ""))
+    weight = {x: (5.0, 2.0, 1.0)[n % 3] for n, x in enumerate(names)}
+    whole = {x: sum(size[i] for i in stay if kept[i].source == x) for x in names}
+    target, open_, left = {}, set(names), 1.5 * sum(whole.values())
+    while open_:
+        level = left / sum(weight[x] for x in open_)
+        above = {x for x in open_ if weight[x] * level > 2 * whole[x]}
+        for x in above or open_:
+            target[x] = 2.0 * whole[x] if above else weight[x] * level
+            left -= target[x] if above else 0
+        open_ = open_ - above if above else set()
+    want, lib = [], sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    for x in names:
+        spent = 0
+        for i in sorted((i for i in stay if kept[i].source == x), key=lambda i: (hashlib.md5(f"mix:{i}".encode()).hexdigest(), i)):
+            epochs, rest = divmod(int(target[x] + 1e-9), whole[x]) if whole[x] else (0, 0)
+            times = (epochs + (spent + size[i] <= rest)) if size[i] else 1
+            spent += size[i]
+            ids = lib.encode(text[i] or "", add_bos=True, add_eos=True)
+            want += [(i, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())] * times
+    assert sorted(want) == sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect())
