@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.functions import tiles
+from meridian.functions import grid, tiles
 
 
 def medians(cells: DataFrame, key: str, value: str) -> DataFrame:
-    """Upper, averaged and floor-index medians, which differ for an even count."""
-    v = F.sort_array(F.collect_list(value))
-    out = cells.groupBy(key).agg(v.alias("v"), F.percentile(value, 0.5).alias("averaged"))
-    n = F.size("v")
-    return out.select(key, F.round(F.get("v", F.floor(n / 2).cast("int")), 6).alias("upper"), F.round("averaged", 6).alias("averaged"), F.round(F.get("v", F.floor((n - 1) * 0.5).cast("int")), 6).alias("low"))
+    """Upper, averaged and floor-index medians, which differ for an even count; by rank, so that no group is held in one row."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1
+    d = cells.select(key, value, at.alias("at"), F.count("*").over(Window.partitionBy(key)).alias("n"))
+    upper, low = F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) / 2)
+
+    def pick(place):
+        return F.max(F.when(F.col("at") == place, F.col(value)))
+
+    averaged = F.avg(F.when((F.col("at") == upper) | (F.col("at") == low), F.col(value)))
+    return d.groupBy(key).agg(F.round(pick(upper), 6).alias("upper"), F.round(averaged, 6).alias("averaged"), F.round(pick(low), 6).alias("low"))
 
 
 def weighted_median(rows: DataFrame, key: str, value: str, weight: str) -> DataFrame:
@@ -24,12 +31,6 @@ def weighted_median(rows: DataFrame, key: str, value: str, weight: str) -> DataF
     return run.where(F.col("run") * 2 >= F.col("whole")).groupBy(key).agg(F.round(F.min(value), 6).alias("median"))
 
 
-def pow2_histogram(rows: DataFrame, value: str) -> DataFrame:
-    """Counts by bucket: 0 for 0, else the number of bits."""
-    bucket = F.when(F.col(value) <= 0, 0).otherwise(F.length(F.bin(value))).cast("long")
-    return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-
-
 def level_summary(light: DataFrame) -> DataFrame:
     mean = (F.col("red") + F.col("green") + F.col("blue")) / 3
     return light.groupBy("level").agg(F.count("*").alias("tiles"), F.round(F.avg(mean), 6).alias("mean"), F.round(F.min(mean), 6).alias("least"), F.round(F.max(mean), 6).alias("most"), F.sum("drapes").alias("drapes"))
@@ -82,20 +83,40 @@ def hold_runs(frames: DataFrame, value: str) -> DataFrame:
     return runs.groupBy("session", "run").agg(F.min("frame").alias("frame"), F.min(value).alias(value), F.count("*").alias("hold")).drop("run")
 
 
+def valid(scores: DataFrame) -> DataFrame:
+    """Scores whose input is not of another acquisition; an unknown kind counts."""
+    return scores.where(F.coalesce(F.col("kind") != "other", F.lit(True)))
+
+
 def score_medians(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("input", "method").agg(F.round(F.percentile("psnr_y", 0.5), 3).alias("psnr_y"), F.round(F.percentile("lpips", 0.5), 3).alias("lpips"), F.count("*").alias("n"))
+    return valid(scores).groupBy("input", "method").agg(F.round(F.percentile("psnr_y", 0.5), 3).alias("psnr_y"), F.round(F.percentile("lpips", 0.5), 3).alias("lpips"), F.count("*").alias("n"))
+
+
+def score_table(scores: DataFrame, measure: str, methods: list[str]) -> DataFrame:
+    """Medians of a measure, a row for each input and a column for each method."""
+    return valid(scores).groupBy("input").pivot("method", methods).agg(F.round(F.percentile(measure, 0.5), 3))
 
 
 def win_rate(scores: DataFrame, baseline: str = "m0") -> DataFrame:
-    """Share of samples of an input on which a method's lpips beats the baseline's."""
-    base = scores.where(F.col("method") == baseline).select("sample", "input", F.col("lpips").alias("base"))
-    both = scores.where(F.col("method") != baseline).join(base, ["sample", "input"])
-    return both.groupBy("input", "method").agg(F.round(F.avg((F.col("lpips") < F.col("base")).cast("double")), 6).alias("wins"), F.count("*").alias("n"))
+    """Share of an input's valid samples on which a method's mean lpips is below the baseline's; a sample that lacks either is no win but counts."""
+    mean = valid(scores).groupBy("sample", "input", "method").agg(F.avg("lpips").alias("lpips")).where("lpips is not null")
+    pairs = mean.groupBy("input").agg(F.countDistinct("sample").alias("n"))
+    base = mean.where(F.col("method") == baseline).select("sample", "input", F.col("lpips").alias("base"))
+    wins = mean.where(F.col("method") != baseline).join(base, ["sample", "input"], "left").groupBy("input", "method").agg(F.sum(F.coalesce(F.col("lpips") < F.col("base"), F.lit(False)).cast("long")).alias("w"))
+    return wins.join(pairs, "input").select("input", "method", F.round(F.col("w") / F.col("n"), 6).alias("wins"), "n")
 
 
 def score_pivot(scores: DataFrame) -> DataFrame:
-    p = scores.groupBy("sample", "input").pivot("method", ["m0", "m1", "m2", "m3", "m4"]).agg(F.round(F.first("psnr_y"), 6))
-    return p
+    return scores.groupBy("sample", "input").pivot("method", ["m0", "m1", "m2", "m3", "m4"]).agg(F.round(F.first("psnr_y"), 6))
+
+
+def stratified(samples: DataFrame, strata: list[str], key: str, n: int, seed: int) -> DataFrame:
+    """About ``n`` rows drawn in proportion from every stratum, at least one from each, in an order set by a hash of key and seed."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    d = samples.withColumn("h", order).withColumn("of", F.count("*").over(Window.partitionBy(*strata))).crossJoin(F.broadcast(samples.agg(F.count("*").alias("all"))))
+    d = d.withColumn("at", F.row_number().over(Window.partitionBy(*strata).orderBy("h", key)))
+    take = F.least(F.col("of"), F.greatest(F.lit(1), F.rint(F.lit(n) * F.col("of") / F.col("all"))))
+    return d.where(F.col("at") <= take).orderBy("h", key).limit(n).select(*samples.columns)
 
 
 def first_samples(scores: DataFrame, most: int = 20) -> DataFrame:
@@ -108,16 +129,25 @@ def class_counts(scores: DataFrame) -> DataFrame:
     return scores.groupBy("input").agg(*[F.sum(F.coalesce((F.col("kind") == k).cast("long"), F.lit(0))).alias(k) for k in ("same", "other")], F.sum(F.col("kind").isNull().cast("long")).alias("unknown"))
 
 
-def footprint_keeps(tree: DataFrame, eyes: DataFrame, factor: float = 2.0) -> DataFrame:
-    """Tiles with an eye within ``factor`` times their width (and the eye's height) of their centre.
+#: How near an eye that was left out may be to one kept, and the highest ground that an eye's height is measured against.
+EYE_SPACING, HIGHEST_GROUND = 500.0, 4800.0
+
+
+def footprint_keeps(addresses: DataFrame, eyes: DataFrame, factor: float = 2.0) -> DataFrame:
+    """The tiles ``grid, level, x, y`` that an eye ``lon, lat, height`` (degrees, metres) can want.
 
-    A semi join on the distance; eyes are camera positions, few beside the tiles.
+    A tile is kept by an eye whose horizon reaches its nearest point and whose distance to it, the height above the highest ground included,
+    is at most ``factor`` times the tile's width and the slack of eyes left out. A semi join on that condition: eyes are camera positions,
+    some thousand, against tiles in any number; Spark broadcasts them while they are small and else joins in blocks.
     """
-    west, south, east, north = tiles.bounds(F.col("level"), F.col("x"), F.col("y"))
-    t = tree.select("level", "x", "y", ((west + east) / 2).alias("t_lon"), ((south + north) / 2).alias("t_lat"))
-    t = t.withColumn("width", F.lit(40075016.0) / F.pow(F.lit(2.0), "level") * F.cos(F.radians("t_lat")))
-    near = tiles.haversine(F.col("t_lon"), F.col("t_lat"), F.col("lon"), F.col("lat")) <= factor * F.col("width") + F.col("height")
-    return t.join(eyes, near, "left_semi").select("level", "x", "y")
+    at = (F.col("grid"), F.col("level"), F.col("x"), F.col("y"))
+    w, s, e, n = grid.bounds_degrees(*at)
+    t = addresses.select("grid", "level", "x", "y", w.alias("w"), s.alias("s"), e.alias("e"), n.alias("n"), (factor * grid.width_m(*at) + EYE_SPACING * math.sqrt(2)).alias("reach"))
+    ground = tiles.haversine(F.col("lon"), F.col("lat"), F.least(F.greatest("lon", "w"), F.col("e")), F.least(F.greatest("lat", "s"), F.col("n")))
+    r = 2 * tiles.MEAN_RADIUS
+    above, up = F.greatest(F.col("height") - HIGHEST_GROUND, F.lit(0.0)), F.greatest("height", F.lit(0.0))
+    horizon = F.sqrt(r * up + F.col("height") * F.col("height")) + math.sqrt(r * HIGHEST_GROUND)
+    return t.join(eyes, (ground <= horizon) & (F.sqrt(ground * ground + above * above) <= F.col("reach")), "left_semi").select("grid", "level", "x", "y")
 
 
 def request_order(tree: DataFrame, most: int = 64) -> DataFrame:

@@ -17,18 +17,29 @@ class Bounds:
     min_stars: int = 10
     min_pixels: int = 1000
     max_gap: int = 2
+    max_turn_deg: float = 0.5
     max_climb: float = 0.02
+    max_scene_step: float = 900.0
     trend: float = 3.0
     min_black: int = 16
     window: int = 5
 
 
+def _turn(u, v):
+    """Degrees between two directions (arrays of three); 0 where one has no length."""
+    dot, uu, vv = (sum((a[i] * b[i] for i in (1, 2)), a[0] * b[0]) for a, b in ((u, v), (u, u), (v, v)))
+    size = F.sqrt(uu) * F.sqrt(vv)
+    return F.when(size > 0, F.degrees(F.acos(F.least(F.greatest(dot / F.when(size > 0, size), F.lit(-1.0)), F.lit(1.0))))).otherwise(F.lit(0.0))
+
+
 def _steps(frames: DataFrame, b: Bounds) -> DataFrame:
     """Pictured frames with their step from the last picture; null where the two don't compare."""
     w = Window.partitionBy("session").orderBy("frame")
-    p = frames.where("pictured").withColumn("prev", F.lag(F.struct("frame", "sky_luma", "ground_luma", "sky_pixels", "ground_pixels", "stars", "altitude")).over(w))
+    p = frames.where("pictured").withColumn("prev", F.lag(F.struct("frame", "sky_luma", "ground_luma", "sky_pixels", "ground_pixels", "stars", "altitude", "instant", "direction", "up")).over(w))
     climb = F.abs(F.col("altitude") - F.col("prev.altitude")) / F.greatest(F.abs("prev.altitude"), F.lit(1.0))
-    still = F.col("prev").isNotNull() & (F.col("frame") - F.col("prev.frame") <= b.max_gap) & (climb <= b.max_climb)
+    turned = [_turn(F.col(c), F.col(f"prev.{c}")) <= b.max_turn_deg for c in ("direction", "up")]
+    clock = F.abs(F.col("instant") - F.col("prev.instant"))  # unknown clocks compare
+    still = F.col("prev").isNotNull() & (F.col("frame") - F.col("prev.frame") <= b.max_gap) & (climb <= b.max_climb) & turned[0] & turned[1] & F.coalesce(F.isnan(clock) | (clock == float("inf")) | (clock <= b.max_scene_step), F.lit(True))
 
     def step(kind):
         both = (F.col(f"{kind}_pixels") >= b.min_pixels) & (F.col(f"prev.{kind}_pixels") >= b.min_pixels)
@@ -66,10 +77,11 @@ def picture_deltas(frames: DataFrame) -> DataFrame:
 
 
 def recorded_fps(frames: DataFrame) -> DataFrame:
-    """Frames a second over the session, 1 to 240, 30 where it can't be told."""
-    span = (F.max("wall_ms") - F.min("wall_ms")) / 1000
-    rate = F.when(span > 0, F.least(F.lit(240), F.greatest(F.lit(1), F.round((F.count("*") - 1) / span)))).otherwise(30)
-    return frames.groupBy("session").agg(rate.cast("long").alias("fps"))
+    """Pictures a second of a session, from the first pictured frame with a finite clock to the last: 1 to 240, 30 where it can't be told."""
+    at = frames.where("pictured and wall_ms is not null").groupBy("session").agg(F.min_by("wall_ms", "frame").alias("a"), F.max_by("wall_ms", "frame").alias("b"), F.count("*").alias("n"))
+    span = (F.col("b") - F.col("a")) / 1000
+    rate = F.when((span > 0) & (F.col("n") > 1), F.least(F.lit(240), F.greatest(F.lit(1), F.round((F.col("n") - 1) / F.when(span > 0, span))))).otherwise(30)
+    return frames.select("session").distinct().join(at, "session", "left").select("session", rate.cast("long").alias("fps"))
 
 
 def frame_size_mode(frames: DataFrame) -> DataFrame:

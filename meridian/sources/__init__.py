@@ -1,0 +1 @@
+"""Readers and writers of recorded frames, catalogues and tile archives."""

@@ -1,0 +1 @@
+"""Structured Streaming: publication of fresh tiles."""
