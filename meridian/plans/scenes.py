@@ -81,8 +81,8 @@ def _brushes(p):
 register("brush_extents", ("places",), lambda p: _brushes(_probes(p)), f", {_PROBES} select probe, round(case when probe % 2 = 0 then case when 15 - pow(probe % 7, 2) >= 0 then z - sqrt(15 - pow(probe % 7, 2)) end when probe % 7 <= 3 then z end, 6) as low, round(case when probe % 2 = 0 then case when 15 - pow(probe % 7, 2) >= 0 then z + sqrt(15 - pow(probe % 7, 2)) end when probe % 7 <= 3 then z + 5 end, 6) as high from probes")
 register("tiles_over", ("rects",), lambda r: terrain.tiles_over(r.select("rect", *[F.degrees(b).alias(a) for a, b in zip(("x0", "y0", "x1", "y1"), ("west", "south", "east", "north"))]), 5, 64.0), "select rect, tx, unnest(range(floor(degrees(south) / 2)::bigint, floor(degrees(north) / 2)::bigint + 1)) as ty from (select *, unnest(range(floor(degrees(west) / 2)::bigint, floor(degrees(east) / 2)::bigint + 1)) as tx from rects)")
 register("finest_heights", ("addresses", "eyes"), lambda t, e: terrain.finest_heights(t.where("grid = 'geographic'").select("level", "x", "y", F.when(C("x") % 10 == 0, F.lit(float("nan"))).otherwise((C("level") * 100 + C("x") % 7) * 1.0).alias("height"), C("n").alias("arrival")), e.select(C("eye").alias("probe"), "lon", "lat"), 19).select("probe", "height", C("level").cast("double").alias("level")),
-         """, r as (select level, x, y, (level * 100 + x % 7) * 1e0 as height from addresses where grid = 'geographic' and x % 10 <> 0), a as (select eye as probe, lon, lat, unnest(range(0, 20)) as level from eyes), f as (select probe, r.level, height from a join r on r.level = a.level and r.x = least(floor((lon + 180) / 360 * 2 * pow(2e0, a.level)), 2 * pow(2e0, a.level) - 1)::bigint and r.y = least(floor((lat + 90) / 180 * pow(2e0, a.level)), pow(2e0, a.level) - 1)::bigint)
-  select eye as probe, arg_max(height, level) as height, max(level)::double as level from eyes left join f on f.probe = eye group by 1""")
+         """, r as (select level, x, y, (level * 100 + x % 7) * 1e0 as height from addresses where grid = 'geographic' and x % 10 <> 0), a as (select eye as probe, lon, lat, unnest(range(0, 20)) as level from eyes), f as (select probe, r.level, r.height as top from a join r on r.level = a.level and r.x = least(floor((lon + 180) / 360 * 2 * pow(2e0, a.level)), 2 * pow(2e0, a.level) - 1)::bigint and r.y = least(floor((lat + 90) / 180 * pow(2e0, a.level)), pow(2e0, a.level) - 1)::bigint)
+  select eye as probe, arg_max(top, level) as height, max(level)::double as level from eyes left join f on f.probe = eye group by 1""")
 
 
 def _degrees(r, shift=0.0, grow=1.0):

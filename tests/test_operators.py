@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meridian import extensions
 from meridian.functions import colour, grid, text
 from meridian.operators import images, light, measure, ranges, series, store
-from meridian.sources import archives, fixed_width, sidecar
+from meridian.sources import archives, documents, fixed_width, logs, meshes, sidecar
 from meridian.streaming import publish
 
 
@@ -207,3 +208,80 @@ def test_kept_by_eyes(spark):
     at = spark.createDataFrame([("web-mercator", 12, 2048, 2047), ("web-mercator", 12, 2048 + 300, 2047), ("web-mercator", 1, 1, 0), ("web-mercator", 3, 7, 3), ("geographic", 11, 2048, 1024)], "grid string, level long, x long, y long")
     got = sorted((r.grid, r.level, r.x) for r in measure.footprint_keeps(at, eyes).collect())
     assert got == [("geographic", 11, 2048), ("web-mercator", 1, 1), ("web-mercator", 12, 2048)]
+
+
+def test_models_and_meshes(spark):
+    raw = meshes.build_b3dm(b"glTF" + b"x" * 13)
+    parts = meshes.parse_b3dm(raw)
+    assert len(raw) % 8 == 0 and parts["model"].startswith(b"glTF") and parts["feature_json"].strip() == b'{"BATCH_LENGTH":0}'
+    with pytest.raises(ValueError):
+        meshes.parse_b3dm(raw[:20])
+    u, v = np.meshgrid(np.linspace(0, 1, 5), np.linspace(0, 1, 5))
+    n = [(r * 5 + c) for r in range(4) for c in range(4)]
+    triangles = np.array([t for i in n for t in ((i, i + 1, i + 5), (i + 1, i + 6, i + 5))])
+    order = {}
+    for i in triangles.ravel().tolist():
+        order.setdefault(i, len(order))
+    place = np.array(sorted(order, key=order.get))
+    mesh = {"centre": (1.0, 2.0, 3.0), "low": -10.0, "high": 90.0, "sphere": (0.0, 0.0, 0.0, 5.0), "horizon": (0.0, 0.0, 1.0), "u": u.ravel()[place], "v": v.ravel()[place], "height": (u * v).ravel()[place], "triangles": np.vectorize(order.get)(triangles), "edges": {"west": [order[0], order[5]], "south": [], "east": [order[4]], "north": [order[24]]}, "extensions": {1: b"abc"}}
+    raw = meshes.build_mesh(mesh)
+    back = meshes.parse_mesh(raw)
+    assert np.abs(back["u"] - mesh["u"]).max() < 1e-4 and (back["triangles"] == mesh["triangles"]).all() and back["edges"]["west"].tolist() == [order[0], order[5]] and back["extensions"] == {1: b"abc"}
+    got = meshes.mesh_vertices(spark.createDataFrame([(7, raw), (8, None)], "tile_id long, data binary")).collect()
+    assert len(got) == 25 and {r.tile_id for r in got} == {7} and max(r.height for r in got) == pytest.approx(90, abs=0.01)
+    with pytest.raises(ValueError):
+        meshes.build_mesh(mesh | {"triangles": np.array([[0, 2, 1]])})
+
+
+def test_logs(spark, tmp_path):
+    a = spark.createDataFrame([("/camera", 10 * i, i, bytes([i // 3])) for i in range(8)], logs.SCHEMA)
+    b = spark.createDataFrame([("/sky", 5, 0, b"s"), ("/sky", 5, 1, b"t")], logs.SCHEMA)
+    whole = logs.merged([a, b])
+    assert [(r.topic, r.seq) for r in logs.ordered(whole).collect()][:4] == [("/camera", 0), ("/sky", 0), ("/sky", 1), ("/camera", 1)]
+    assert {r.topic: r.n for r in logs.topic_counts(whole).collect()} == {"/camera": 8, "/sky": 2} and logs.replay(whole, "/sky").count() == 2
+    with pytest.raises(ValueError, match="/camera is in 2"):
+        logs.merged([a, a])
+    coded = logs.channel(a, 100, 10)
+    assert sorted((r.log_time, r.hold) for r in coded.collect()) == [(100, 3), (130, 3), (160, 2)]
+    assert [bytes(r["data"]) for r in logs.expanded(coded, 10).orderBy("log_time").collect()] == [bytes([i // 3]) for i in range(8)]
+    logs.write(whole, f"file://{tmp_path}/log")
+    (tmp_path / "log" / "part-99999.parquet").write_bytes(b"PAR1 broken")
+    assert logs.recovered(spark, f"file://{tmp_path}/log").count() == 10
+
+
+def test_documents(spark, tmp_path):
+    at = f"file://{tmp_path}/catalogue.json"
+    assert documents.layers(spark, at).count() == 0 and documents.manifest(spark, at).count() == 0
+    (tmp_path / "catalogue.json").write_text('{"layers": [{"name": "sat", "grid": "geographic", "zone_level": 6}]}')
+    assert sorted(r.name for r in documents.layers(spark, at).collect()) == ["sat", "sat.absent"]
+    (tmp_path / "wrong.json").write_text('{"layers": [{"name": "sat.absent"}]}')
+    with pytest.raises(ValueError):
+        documents.layers(spark, f"file://{tmp_path}/wrong.json")
+    m = f"file://{tmp_path}/manifest.json"
+    assert documents.replace_manifest(spark, m, 0, [{"key": "a", "epoch": "d"}, {"key": "b", "epoch": "d"}], [])
+    assert not documents.replace_manifest(spark, m, 0, [], []) and documents.generation(spark, m) == 1
+    found = spark.createDataFrame([("b",), ("z",), ("y",)], "key string")
+    assert [r.key for r in documents.listed(documents.manifest(spark, m), found).collect()] == ["b", "a", "y", "z"]
+    keys = spark.createDataFrame([("films/r1/part-0001.mp4",), ("films/r1/part-0002.mp4",), ("films/r1.ready",), ("films/r2/part-0001.mp4",), ("films/x",)], "key string")
+    assert sorted((r.run, r.chunk) for r in documents.runs(keys, "films/{run}/part-{index}.mp4", "films/{run}.ready").collect()) == [("r1", 1), ("r1", 2)]
+    tree = '{"root": {"geometricError": 8, "boundingVolume": {"sphere": [0, 0, 0, 1]}, "refine": "add", "children": [{"geometricError": 4, "boundingVolume": {"sphere": [0, 0, 0, 1]}, "content": {"uri": "a.glb"}}, {"geometricError": 2, "refine": "REPLACE", "boundingVolume": {"sphere": [1, 0, 0, 1]}}]}}'
+    rows = documents.tile_sets(spark.createDataFrame([("s", tree)], "set string, text string"))
+    assert sorted((r.id, r.parent, r.refine, r.content) for r in rows.collect()) == [(0, None, "ADD", None), (1, 0, "ADD", "a.glb"), (2, 0, "REPLACE", None)]
+    both = documents.grafted(rows, 1, rows)
+    assert sorted((r.id, r.parent, r.depth) for r in both.collect())[3:] == [(3, 1, 2), (4, 3, 3), (5, 3, 3)]
+    assert documents.terrain_ranges('{"available": [[{"startX": 0, "startY": 0, "endX": 1, "endY": 0}], []]}') == [(0, 0, 1, 0, 0)]
+
+
+def test_extensions(spark, tmp_path):
+    d = spark.createDataFrame([(1, 0.5, 2.0), (1, 1.5, 3.0), (2, 0.0, 1.0)], "k long, a double, b double")
+    assert [r.h for r in d.select(extensions.heights_of(lambda lon, lat: lon + lat, F.col("a"), F.col("b")).alias("h")).collect()] == [2.5, 4.5, 1.0]
+    assert sorted((r.k, r.most) for r in extensions.observed(d, ["k"], {"most": lambda g: g["b"].max()}).collect()) == [(1, 3.0), (2, 1.0)]
+    img = spark.createDataFrame([(1, [0.5] * 12)], "id long, image array<double>")
+    assert len(extensions.upscaled(img, "id", 2, 2, lambda v: np.stack([images.bicubic(x, 2) for x in v])).first().image) == 48
+    asked = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 0, 1)], "level long, x long, y long")
+    held = spark.createDataFrame([(1, 0, 0, b"held")], "level long, x long, y long, data binary")
+    got = sorted((r.y, bytes(r["data"])) for r in extensions.backed_by(held, asked, lambda level, x, y: f"{level}/{x}/{y}".encode()).collect())
+    assert got == [(0, b"held"), (1, b"1/0/1")]
+    made = archives.write(spark.createDataFrame([("a", 5, b"x"), ("a", 6, b"x")], "zone string, tile_id long, data binary"), f"file://{tmp_path}/out").first()
+    extensions.register(spark)
+    assert [(r.tile_id, r.run_length) for r in spark.read.format("tile_archive").option("paths", made.archive).load().collect()] == [(5, 2)]
