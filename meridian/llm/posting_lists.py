@@ -228,18 +228,21 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec
         for b in batches:
             for _, ids, vecs, qi, qv in zip(*(c.to_pylist() for c in b.columns)):
                 (c_ids, c), (q_ids, q) = matrix(ids, vecs, dim), matrix(qi, qv, dim)
-                rough = q @ c.T
+                rough, once = q @ c.T, len(np.unique(c_ids)) == len(c_ids)
                 for i in range(len(q)):
                     own = np.nonzero(c_ids != q_ids[i])[0]
                     if not len(own):
                         continue
                     r = rough[i, own]
-                    if len(own) > k and np.isfinite(r).all():  # a little below the kth, so that rounding loses none
+                    if len(own) > k and once and np.isfinite(r).all():  # a little below the kth, so that rounding loses none
                         bar = np.partition(r, len(r) - k)[len(r) - k]
                         own = own[r >= bar - 1e-9 * (1 + abs(bar))]
                     s = (c[own] * q[i]).sum(axis=1)  # summed in the same order wherever the vector stands
                     s[np.isnan(s)] = -np.inf  # two overflows of unlike sign
-                    at = np.lexsort((c_ids[own], -s))[:k]
+                    at = np.lexsort((c_ids[own], -s))
+                    if not once:  # an id counts by its best row
+                        at = at[np.sort(np.unique(c_ids[own][at], return_index=True)[1])]
+                    at = at[:k]
                     held.append((np.full(len(at), q_ids[i]), c_ids[own][at], s[at]))
                     size += len(at)
                 if size > limit:
