@@ -89,6 +89,12 @@ s as (
   from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10""",
+    "op3_warc": """
+with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as x from pages),
+r as (select *, min(page_id) over (partition by x) as first_id from p)
+select page_id, payload_bytes::bigint as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(x, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))::int) & 31))::int, 1)), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to from r""",
     "op7_mixing": r"""
 with d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,

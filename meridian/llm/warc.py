@@ -18,7 +18,7 @@ from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.llm.common import shared_path, written
@@ -157,19 +157,20 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
     """Write every row of ``pages(page_id, url, html)`` as a record under ``path``; returns the manifest ``(file, bytes, records)``.
 
     Of records with equal payloads of at least ``least_bytes`` the one with the least page_id
-    is the response (of repeated ids, the first in the input) and the rest revisit it. A null
+    is the response (of repeated ids, the least url's, and one of equal rows) and the rest revisit it. A null
     html is an empty payload; a null page_id comes last and has an empty name; an empty
     table gives no file.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("*", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("size"), F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row").alias("rank"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(64)))
-    # equal payloads in up to 64 shares: a hot one is never one group, and shares are summed before they meet
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("no_url"), "url").alias("rank"))
+    rows = rows.select("*", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("size"), F.pmod(F.xxhash64("page_id", "url"), F.lit(64)).alias("salt"))
+    # equal payloads in up to 64 shares: a hot one is never one group, and shares are summed before they meet; all
+    # of this follows from a row's own values, so that a task that runs again says the same
     shares = rows.select("sha1", "salt", "rank").groupBy("sha1", "salt").agg(F.min("rank").alias("rank"))
     firsts = shares.groupBy("sha1").agg(F.min("rank").alias("first"), F.collect_set("salt").alias("salts")).select("sha1", "first", F.explode("salts").alias("salt"))
-    rows = rows.join(firsts, ["sha1", "salt"])
-    again = (F.col("size") >= least_bytes) & (F.col("rank") != F.col("first"))
+    nth = F.row_number().over(Window.partitionBy("sha1", "salt", "page_id", "url").orderBy("size"))
+    rows = rows.join(firsts, ["sha1", "salt"]).withColumn("nth", nth)
+    again = (F.col("size") >= least_bytes) & ~(F.col("rank").eqNullSafe(F.col("first")) & (F.col("nth") == 1))
     rows = rows.select("page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", "sha1", F.when(again, F.col("first.page_id")).alias("refers_to"))
     stamp = datetime.fromtimestamp(0, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
