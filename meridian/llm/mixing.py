@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridian.llm.common import written
+
 #: One word: a run of anything but space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,7 +59,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     as an empty string; documents without words have size 0 and taken 0. An empty table gives none.
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), sizes(docs, text).alias("size"), key.alias("key")).withColumn("range", F.substring("key", 1, digits))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), sizes(docs, text).alias("size"), key.alias("key"))
+    rows = written(rows, "mix-sizes")[0].withColumn("range", F.substring("key", 1, digits))  # words are counted once
     # (source, range) totals: partial sums are made before the shuffle
     parts = rows.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
