@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions import tiles
 from meridian.operators import measure, session
-from meridian.plans import addressing, measures, scenes, stores  # noqa: F401  each module registers its own queries
+from meridian.plans import addressing, measures, more, scenes, stores  # noqa: F401  each module registers its own queries
 from meridian.plans.catalogue import ORACLE, QUERIES, register  # noqa: F401
 
 _STEPS = """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meridian import extensions
 from meridian.functions import colour, grid, text
-from meridian.operators import images, light, measure, ranges, series, store
+from meridian.operators import caches, images, light, measure, ranges, seams, series, solve, store
 from meridian.sources import archives, documents, fixed_width, logs, meshes, sidecar
 from meridian.streaming import publish
 
@@ -285,3 +285,44 @@ def test_extensions(spark, tmp_path):
     made = archives.write(spark.createDataFrame([("a", 5, b"x"), ("a", 6, b"x")], "zone string, tile_id long, data binary"), f"file://{tmp_path}/out").first()
     extensions.register(spark)
     assert [(r.tile_id, r.run_length) for r in spark.read.format("tile_archive").option("paths", made.archive).load().collect()] == [(5, 2)]
+
+
+def test_level_gains(spark):
+    """Three sources along a chain of levels: gains add up from the anchor, near levels are one source, and outliers and weightless rows don't move them."""
+    steps = {(10, 9): 0.02, (11, 10): 0.5, (12, 11): -0.03, (13, 12): 0.7}
+    rows = [(a, b, g, g / 2, 0.0, 1.0) for (a, b), g in steps.items() for _ in range(5)] + [(11, 10, 9.0, 9.0, 9.0, 1.0), (13, 9, 5.0, 5.0, 5.0, 0.0), (9, 9, 1.0, 1.0, 1.0, 3.0)]
+    got = solve.level_gains(spark.createDataFrame(rows, "level long, ancestor long, r double, g double, b double, weight double"), anchor=10)
+    assert {x: s for x, (s, _) in got.items()} == {9: 9, 10: 9, 11: 11, 12: 11, 13: 13}
+    assert got[10][1] == (0, 0, 0) and got[12][1][0] == pytest.approx(0.5, abs=1e-3) and got[13][1][0] == pytest.approx(1.2, abs=1e-3) and got[13][1][1] == pytest.approx(0.6, abs=1e-3)
+    assert solve.level_gains(spark.createDataFrame([], "level long, ancestor long, r double, g double, b double, weight double")) == {}
+
+
+def test_gain_fields():
+    n = solve.BLOCKS
+    flat = solve.gain_field(np.full((n, n, 3), 0.25), np.ones((n, n)), np.full(3, 0.25))
+    assert flat.shape == (n + 1, n + 1, 3) and np.abs(flat[4:-4, 4:-4] - 256).max() <= 2
+    wild = np.full((n, n, 3), 0.25)
+    wild[8, 8] = 1.4
+    trust = np.ones((n, n))
+    trust[8, 8] = 0.0
+    assert np.abs(solve.gain_field(wild, trust, np.full(3, 0.25))[8, 8].astype(int) - 256).max() <= 4
+    assert solve.field_at(flat, 0.5, 0.5) == pytest.approx(0.25, abs=0.01)
+    high = np.full((n + 1, n + 1, 3), 1400, np.int16)
+    assert solve.chained(high, high, (1, 0)).max() == round(1.5 * solve.UNITS) and (solve.chained(high, high * 0, (0, 0)) == high).all()
+
+
+def test_caches(spark):
+    steps = [("a", 4), ("b", 4), ("a", 5), ("c", 3), ("d", 20), ("e", 10)]
+    assert caches.lru(iter(steps), 10) == [[], [], [], ["b"], ["d"], ["a", "c"]]
+    d = spark.createDataFrame([("x", i, k, w) for i, (k, w) in enumerate(steps)], "cache string, at long, key string, weight long")
+    assert [r.evicted for r in caches.evictions(d, "cache", "at", 10).orderBy("at").collect()] == caches.lru(iter(steps), 10)
+    assert caches.relaxed(np.array([1, 2, 0, -1]), np.array([1_000_000] * 4), 500, 300, 3000).tolist() == [1500, 3000, 2700, 2700]
+
+
+def test_seams(spark):
+    """A coarse tile beside two fine ones, around the globe; a pole has no side; what nobody faces is bare."""
+    d = spark.createDataFrame([("f", 1, 0, 0), ("f", 2, 2, 0), ("f", 2, 2, 1), ("f", 1, 3, 0)], "frame string, level long, x long, y long")
+    pairs = sorted((r.a_level, r.a_x, r.b_level, r.b_x, r.share) for r in seams.shared(d, "frame").where("upright").collect())
+    assert pairs == [(1, 0, 2, 2, 0.5), (1, 0, 2, 2, 0.5), (1, 3, 1, 0, 1.0)]
+    bare = {(r.level, r.x, r.y, r.side): r.bare for r in seams.uncovered(d, "frame").collect()}
+    assert (1, 0, 0, "south") not in bare and (1, 0, 0, "east") not in bare and bare[1, 0, 0, "north"] == 1 and bare[1, 3, 0, "west"] == 1
