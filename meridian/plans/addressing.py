@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from meridian.functions import geodesy as geo
 from meridian.functions import grid as g
-from meridian.plans.catalogue import register
+from meridian.plans.catalogue import Columns, register
 
 C = F.col
 TAU = repr(2 * math.pi) + "::double"
-ADDRESS = (C("grid"), C("level"), C("x"), C("y"))
+ADDRESS = Columns(lambda: (C("grid"), C("level"), C("x"), C("y")))
 KEY = ("grid", "level", "x", "y")
 
 
@@ -65,7 +65,7 @@ register("children", ("addresses",), lambda t: t.where("level <= 4").select(*KEY
 
 _RANGE = f"{_NORM.format(lon='west', lat='north', u='u0', v='v0')}, {_NORM.format(lon='east', lat='south', u='u1', v='v1')}"
 _COVER = "cast(pow(2e0, {level}) as bigint) as h, case when grid = 'geographic' then 2 * h else h end as w, least(cast(floor(u0 * w) as bigint), w - 1) as x0, least(cast(floor(greatest(u0, u1) * w) as bigint), w - 1) as x1, least(cast(floor(v0 * h) as bigint), h - 1) as y0, least(cast(floor(greatest(v0, v1) * h) as bigint), h - 1) as y1"
-_RECT = (C("west"), C("south"), C("east"), C("north"))
+_RECT = Columns(lambda: (C("west"), C("south"), C("east"), C("north")))
 register("levels_for", ("rects",), lambda r: r.select("rect", "grid", g.level_for_rectangle(C("grid"), C("east") - C("west"), C("height") * 64).alias("by_width"), g.level_for_spacing(C("grid"), C("height") * 3 + 0.7, C("south")).alias("by_spacing")),
          f"""select rect, grid, cast(least(19, greatest(0, ceil(log2(greatest(height * 64, 1) / (greatest(greatest(east - west, 0) / {TAU}, 1e-12) * case when grid = 'geographic' then 2 else 1 end * 256))))) as bigint) as by_width,
   cast(least(19, greatest(0, round(log2({geo.A * 2 * math.pi / 256!r}::double * case when grid = 'geographic' then 0.5e0 else cos(south) end / greatest(height * 3 + 0.7e0, 1e-3))))) as bigint) as by_spacing from rects""")
@@ -118,14 +118,14 @@ def _coverage(r, level: int = 7):
     right = F.when(C("x") == C("x1"), 1 + reach).otherwise(edge(C("x"), C("y0"), "x"))
     top = F.when(C("y") == C("y0"), -reach).otherwise(edge(C("x0"), C("y") - 1, "y"))
     low = F.when(C("y") == C("y1"), 1 + reach).otherwise(edge(C("x0"), C("y"), "y"))
-    return d.select("rect", "grid", "x", "y", *named({"left": left, "top": top, "right": right, "low": low}, 7))
+    return d.select("rect", "grid", "x", "y", *named({n: c + 1.7e-10 for n, c in {"left": left, "top": top, "right": right, "low": low}.items()}, 7))  # no share lies on a rounding border
 
 
 _LAT = f"case when grid = 'geographic' then (0.5e0 - ({{y}}) / (h * 1e0)) * pi() else 2 * atan(exp((0.5e0 - ({{y}}) / (h * 1e0)) * {TAU})) - pi() / 2 end"
 register("mosaic_coverage", ("rects",), _coverage,
          f""", a as (select *, {_RANGE}, {_COVER.format(level=7)} from rects), b as (select *, unnest(range(y0, y1 + 1)) as y from (select *, unnest(range(x0, x1 + 1)) as x from a))
-  select rect, grid, x, y, round(case when x = x0 then -1e-4 else least(1e0, greatest(0e0, (x / (w * 1e0) * {TAU} - pi() - west) / greatest(east - west, 1e-15))) end, 7) + 0.0 as "left", round(case when x = x1 then 1 + 1e-4 else least(1e0, greatest(0e0, ((x + 1) / (w * 1e0) * {TAU} - pi() - west) / greatest(east - west, 1e-15))) end, 7) + 0.0 as "right",
-  round(case when y = y0 then -1e-4 else least(1e0, greatest(0e0, (north - ({_LAT.format(y='y')})) / greatest(north - south, 1e-15))) end, 7) + 0.0 as top, round(case when y = y1 then 1 + 1e-4 else least(1e0, greatest(0e0, (north - ({_LAT.format(y='y + 1')})) / greatest(north - south, 1e-15))) end, 7) + 0.0 as low from b""")
+  select rect, grid, x, y, round(case when x = x0 then -1e-4 else least(1e0, greatest(0e0, (x / (w * 1e0) * {TAU} - pi() - west) / greatest(east - west, 1e-15))) end + 1.7e-10, 7) + 0.0 as "left", round(case when x = x1 then 1 + 1e-4 else least(1e0, greatest(0e0, ((x + 1) / (w * 1e0) * {TAU} - pi() - west) / greatest(east - west, 1e-15))) end + 1.7e-10, 7) + 0.0 as "right",
+  round(case when y = y0 then -1e-4 else least(1e0, greatest(0e0, (north - ({_LAT.format(y='y')})) / greatest(north - south, 1e-15))) end + 1.7e-10, 7) + 0.0 as top, round(case when y = y1 then 1 + 1e-4 else least(1e0, greatest(0e0, (north - ({_LAT.format(y='y + 1')})) / greatest(north - south, 1e-15))) end + 1.7e-10, 7) + 0.0 as low from b""")
 
 # Geodesy
 _ECEF = f"{geo.A}::double / sqrt(1 - {geo.E2!r}::double * sin(lat) * sin(lat)) as n, (n + height) * cos(lat) * cos(lon) as px, (n + height) * cos(lat) * sin(lon) as py, (n * (1 - {geo.E2!r}::double) + height) * sin(lat) as pz"
@@ -142,12 +142,12 @@ register("enu_frames", ("places",), lambda p: p.select("place", *[(F.round(c, 9)
 register("great_circles", ("places",), lambda p: p.withColumn("d", geo.arc(C("lon"), C("lat"), C("lon2"), C("lat2"))).select("place", F.round("d", 8).alias("d"), *named(dict(zip(("at_lon", "at_lat"), geo.along(C("lon"), C("lat"), C("lon2"), C("lat2"), C("d"), F.lit(0.25)))), 6), F.round(geo.turn_between(C("lon"), C("lon2")), 8).alias("turn")),
          f"""select place, round(d, 8) as d, round(atan2(y, x), 6) + 0.0 as at_lon, round(atan2(z, sqrt(x * x + y * y)), 6) + 0.0 as at_lat, round(((lon2 - lon + pi()) - {TAU} * floor((lon2 - lon + pi()) / {TAU})) - pi(), 8) as turn from (select *, acos(least(1, greatest(-1, sin(lat) * sin(lat2) + cos(lat) * cos(lat2) * cos(lon2 - lon)))) as d,
   sin(0.75e0 * d) / sin(d) as sa, sin(0.25e0 * d) / sin(d) as sb, sa * cos(lat) * cos(lon) + sb * cos(lat2) * cos(lon2) as x, sa * cos(lat) * sin(lon) + sb * cos(lat2) * sin(lon2) as y, sa * sin(lat) + sb * sin(lat2) as z from places)""")
-_DIRECTION = (F.cos(C("lon2")) * F.cos(C("lat2")), F.sin(C("lon2")) * F.cos(C("lat2")), F.sin(C("lat2")))
+_DIRECTION = Columns(lambda: (F.cos(C("lon2")) * F.cos(C("lat2")), F.sin(C("lon2")) * F.cos(C("lat2")), F.sin(C("lat2"))))
 _DIR_SQL = "cos(lon2) * cos(lat2) as dx, sin(lon2) * cos(lat2) as dy, sin(lat2) as dz"
 _FRAME_SQL = "-sin(lon) as ex, cos(lon) as ey, -sin(lat) * cos(lon) as nx, -sin(lat) * sin(lon) as ny, cos(lat) as nz, cos(lat) * cos(lon) as ux, cos(lat) * sin(lon) as uy, sin(lat) as uz"
 register("camera_angles", ("places",), lambda p: p.select("place", (F.round(geo.heading(C("lon"), C("lat"), _DIRECTION, (F.lit(0.0), F.lit(0.0), F.lit(1.0))), 6) % 6.283185).alias("heading"), F.round(geo.pitch(C("lon"), C("lat"), _DIRECTION), 8).alias("pitch")),
          f"select place, round(a - {TAU} * floor(a / {TAU}), 6) % 6.283185e0 as heading, round(asin(least(1, greatest(-1, -(dx * ux + dy * uy + dz * uz)))), 8) as pitch from (select *, {_DIR_SQL}, {_FRAME_SQL}, dx * ux + dy * uy + dz * uz as du, atan2((dx - ux * du) * ex + (dy - uy * du) * ey, (dx - ux * du) * nx + (dy - uy * du) * ny + (dz - uz * du) * nz) as a from places)")
-_PXYZ = (C("px"), C("py"), C("pz"))
+_PXYZ = Columns(lambda: (C("px"), C("py"), C("pz")))
 register("bearings", ("places",), lambda p: _ecef(_ecef(p), "lon2", "lat2", "height", ("qx", "qy", "qz")).select("place", F.round(geo.bearing(C("lon"), C("lat"), _PXYZ, (C("qx"), C("qy"), C("qz"))), 7).alias("bearing"), *named(dict(zip(("lx", "ly", "lz"), geo.leash((C("qx"), C("qy"), C("qz")), _PXYZ, C("height") * 1000))), 3), *named(dict(zip(("fx", "fy", "fz"), geo.follow_camera(_PXYZ, C("lon"), C("lat"), C("lon2"), F.abs(C("lat2")), C("height") + 500))), 3)),
          f"""select place, round(b - {TAU} * floor(b / {TAU}), 7) as bearing, round(px + tx * k, 3) + 0.0 as lx, round(py + ty * k, 3) + 0.0 as ly, round(pz + tz * k, 3) + 0.0 as lz, round(px - (nx * cos(lon2) + ex * sin(lon2)) * cos(abs(lat2)) * (height + 500) + ux * sin(abs(lat2)) * (height + 500), 3) + 0.0 as fx,
   round(py - (ny * cos(lon2) + ey * sin(lon2)) * cos(abs(lat2)) * (height + 500) + uy * sin(abs(lat2)) * (height + 500), 3) + 0.0 as fy, round(pz - nz * cos(lon2) * cos(abs(lat2)) * (height + 500) + uz * sin(abs(lat2)) * (height + 500), 3) + 0.0 as fz from

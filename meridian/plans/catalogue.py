@@ -6,6 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meridian.plans.views import duck, view
 
+
+
+class Columns:
+    """A tuple of Columns that is made when it is used: plans are imported before there is a session."""
+
+    def __init__(self, make):
+        self._make = make
+
+    def __iter__(self):
+        return iter(self._make())
+
+    def __getitem__(self, i):
+        return self._make()[i]
+
+    def __len__(self):
+        return len(self._make())
+
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 

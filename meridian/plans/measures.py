@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meridian.functions import colour, text
 from meridian.functions import geodesy as geo
 from meridian.operators import budget, light, series
-from meridian.plans.catalogue import register
+from meridian.plans.catalogue import Columns, register
 
 C = F.col
 
@@ -21,13 +21,18 @@ def rounded(cols, digits=6):
 # Colour
 _LIN = "(case when {v} / 255e0 <= 0.04045e0 then {v} / 255e0 / 12.92e0 else pow(({v} / 255e0 + 0.055e0) / 1.055e0, 2.4e0) end)"
 _LUMA = "(0.2126e0 * {0} + 0.7152e0 * {1} + 0.0722e0 * {2})"
-_RGB = [C(c) for c in ("red", "green", "blue")]
+_RGB = Columns(lambda: [C(c) for c in ("red", "green", "blue")])
 _L = _LUMA.format("red", "green", "blue")
 register("light_steps", ("tile_light",), lambda t: t.select("level", "x", "y", *rounded({"lin": colour.linear(C("red") * 255), "stops": colour.stops(_RGB), "step": colour.step(_RGB, [C("green"), C("blue"), C("red")])})),
          f"""select level, x, y, round({_LIN.format(v='(red * 255)')}, 6) + 0.0 as lin, round(log2(greatest({_L}, 1e-6)), 6) + 0.0 as stops, round(greatest(abs(log2((red + 0.004e0) / (green + 0.004e0))), abs(log2((green + 0.004e0) / (blue + 0.004e0))), abs(log2((blue + 0.004e0) / (red + 0.004e0)))), 6) + 0.0 as step from tile_light""")
-_CONTRAST, _SATURATION = F.when(C("level") % 2 == 0, F.lit(1.0)).otherwise(F.lit(1.3)), F.when(C("level") % 3 == 0, F.lit(1.0)).otherwise(F.lit(0.8))
-_GRADE = dict(zip(("r", "g", "b"), colour.graded(_RGB, [F.lit(0.02)] * 3, [F.lit(1.1), F.lit(1.0), F.lit(0.9)], _CONTRAST, F.lit(0.18), _SATURATION)))
-register("graded_light", ("tile_light",), lambda t: t.select("level", "x", "y", *rounded(_GRADE), *rounded({"times": colour.multiplier((C("level") - 4) * 0.25, F.lit(0.5))})),
+
+
+def _grade():
+    contrast, saturation = F.when(C("level") % 2 == 0, F.lit(1.0)).otherwise(F.lit(1.3)), F.when(C("level") % 3 == 0, F.lit(1.0)).otherwise(F.lit(0.8))
+    return dict(zip(("r", "g", "b"), colour.graded(_RGB, [F.lit(0.02)] * 3, [F.lit(1.1), F.lit(1.0), F.lit(0.9)], contrast, F.lit(0.18), saturation)))
+
+
+register("graded_light", ("tile_light",), lambda t: t.select("level", "x", "y", *rounded(_grade()), *rounded({"times": colour.multiplier((C("level") - 4) * 0.25, F.lit(0.5))})),
          f"""select level, x, y, round(case when s <> 1 then greatest(y2 + (r1 - y2) * s, 0) else r1 end, 6) + 0.0 as r, round(case when s <> 1 then greatest(y2 + (g1 - y2) * s, 0) else g1 end, 6) + 0.0 as g, round(case when s <> 1 then greatest(y2 + (b1 - y2) * s, 0) else b1 end, 6) + 0.0 as b, round(case when level = 4 then 1e0 else pow(2e0, (level - 4) * 0.25e0 * 0.5e0) end, 6) + 0.0 as times from
   (select *, greatest(red - 0.02e0, 0) * 1.1e0 as r0, greatest(green - 0.02e0, 0) as g0, greatest(blue - 0.02e0, 0) * 0.9e0 as b0, case when level % 2 = 0 then 1e0 else 1.3e0 end as k, case when level % 3 = 0 then 1e0 else 0.8e0 end as s, case when k <> 1 then pow(greatest({_LUMA.format('r0', 'g0', 'b0')}, 1e-5) / 0.18e0, k - 1) else 1e0 end as by_,
   r0 * by_ as r1, g0 * by_ as g1, b0 * by_ as b1, {_LUMA.format('r1', 'g1', 'b1')} as y2 from tile_light)""")
@@ -43,13 +48,19 @@ register("stars", ("stars",), lambda s: s.select("star", *rounded({"irradiance":
 
 # Histograms and blocks; a texel is a cell of a vector as a number from 0 to 255
 _UNIT = "least(0.999999e0, greatest(0e0, (v + 1) / 2))"
-_V = F.least(F.greatest((C("v") + 1) / 2, F.lit(0.0)), F.lit(0.999999))
-register("light_quantiles", ("cells",), lambda c: light.bin_quantiles(c.select("tile", _V.alias("y")), "tile", "y", {"p5": 0.05, "p50": 0.5, "p95": 0.95}), f""", b as (select tile, cast(floor({_UNIT} * 4096) as bigint) as bin, count(*) as n from cells group by 1, 2), r as (select tile, bin, sum(n) over (partition by tile order by bin) as seen, sum(n) over (partition by tile) as n from b)
+
+
+def _unit():
+    return F.least(F.greatest((C("v") + 1) / 2, F.lit(0.0)), F.lit(0.999999))
+
+
+
+register("light_quantiles", ("cells",), lambda c: light.bin_quantiles(c.select("tile", _unit().alias("y")), "tile", "y", {"p5": 0.05, "p50": 0.5, "p95": 0.95}), f""", b as (select tile, cast(floor({_UNIT} * 4096) as bigint) as bin, count(*) as n from cells group by 1, 2), r as (select tile, bin, sum(n) over (partition by tile order by bin) as seen, sum(n) over (partition by tile) as n from b)
   select tile, {', '.join(f"round(log2((min(bin) filter (seen > floor(n * {q}e0)) + 0.5e0) / 4096), 6) as {k}" for k, q in (('p5', 0.05), ('p50', 0.5), ('p95', 0.95)))} from r group by 1""")
 _KEPT = f"kept as (select tile, cast(floor({_UNIT} * 16) as bigint) as bin, count(*) as n from cells group by 1, 2)"
-register("kept_quantile", ("cells",), lambda c: light.kept_quantile(light.bin_counts(c.select("tile", _V.alias("y")), "tile", "y", 16), "tile", 0.3, 16).select("tile", F.round("light", 6).alias("light")), f""", {_KEPT}, r as (select *, sum(n) over (partition by tile order by bin) as upto, sum(n) over (partition by tile) as total from kept)
+register("kept_quantile", ("cells",), lambda c: light.kept_quantile(light.bin_counts(c.select("tile", _unit().alias("y")), "tile", "y", 16), "tile", 0.3, 16).select("tile", F.round("light", 6).alias("light")), f""", {_KEPT}, r as (select *, sum(n) over (partition by tile order by bin) as upto, sum(n) over (partition by tile) as total from kept)
   select tile, round(arg_min((bin + (0.3e0 * total - (upto - n)) / n) / 16 * 12 - 12, bin) filter (upto >= 0.3e0 * total), 6) as light from r group by 1""")
-register("kept_share", ("cells",), lambda c: light.kept_share(light.bin_counts(c.select("tile", _V.alias("y")), "tile", "y", 16), "tile", -5.4, 16).select("tile", F.round("share", 6).alias("share")), f", {_KEPT}, p as (select (-5.4e0 + 12) / 12 * 16 as a) select tile, round(sum(case when bin < floor(a) then n when bin = floor(a) then n * (a - floor(a)) else 0 end) / sum(n), 6) as share from kept, p group by 1")
+register("kept_share", ("cells",), lambda c: light.kept_share(light.bin_counts(c.select("tile", _unit().alias("y")), "tile", "y", 16), "tile", -5.4, 16).select("tile", F.round("share", 6).alias("share")), f", {_KEPT}, p as (select (-5.4e0 + 12) / 12 * 16 as a) select tile, round(sum(case when bin < floor(a) then n when bin = floor(a) then n * (a - floor(a)) else 0 end) / sum(n), 6) as share from kept, p group by 1")
 _TEXELS = "texels as (select tile, (cell - 1) // 16 as block, 127.5e0 * (v + 1) as r, 127.5e0 * (v * 0.9e0 + 1) as g, 127.5e0 * (1 - v) as b from cells)"
 
 

@@ -9,21 +9,31 @@ from meridian.operators import ranges, store
 from meridian.plans.catalogue import register
 
 C = F.col
-TODAY, DAYS = F.lit("1998-06-01").cast("date"), F.lit(700)
+
+
+def today():
+    return F.lit("1998-06-01").cast("date")
+
+
+def days():
+    return F.lit(700)
+
+
+
 _LIVE = "live as (select * from archive_entries where date_diff('day', cast(strptime(epoch || '01', '%Y%m%d') + interval 1 month as date), date '1998-06-01') <= 700)"
 _SUMMARY = """summary as (select zone, epoch, archive, count(*) as tiles, cast(sum(bytes) as bigint) as bytes, case when count(oldest_fetch) = count(*) then min(oldest_fetch) end as oldest_fetch, case when count(newest_fetch) = count(*) then max(newest_fetch) end as newest_fetch from live group by 1, 2, 3)"""
 _LISTING = "listing as (select zone, tile_id, arg_max(digest, archive) as digest, max(archive) as archive, arg_max(bytes, archive) as bytes, count(*) as listed from live group by 1, 2)"
 
 
 def _live(e):
-    return store.live(e, TODAY, DAYS)
+    return store.live(e, today(), days())
 
 
 register("newest_wins", ("tile_puts",), store.newest_wins, "select layer, level, x, y, fetched_ms, arrival, digest, offers from (select *, row_number() over (partition by layer, level, x, y order by fetched_ms desc, arrival desc) as r, count(*) over (partition by layer, level, x, y) as offers from tile_puts) where r = 1")
 register("census", ("archive_entries",), lambda e: store.census(_live(e)), f""", {_LIVE} select zone, cast(sum(copies) as bigint) as copies, count(*) as tiles, cast(sum(cast(copies > 1 as int)) as bigint) as repeated, max(archives) as archives from
   (select zone, tile_id, count(*) as copies from live group by 1, 2) join (select zone, count(distinct archive) as archives from live group by 1) using (zone) group by zone""")
 register("zone_listing", ("archive_entries",), lambda e: store.zone_listing(_live(e)), f", {_LIVE}, {_LISTING} select * from listing")
-register("expired_archives", ("archive_entries",), lambda e: store.expired(e, TODAY, DAYS), "select distinct zone, epoch, archive from archive_entries where date_diff('day', cast(strptime(epoch || '01', '%Y%m%d') + interval 1 month as date), date '1998-06-01') > 700")
+register("expired_archives", ("archive_entries",), lambda e: store.expired(e, today(), days()), "select distinct zone, epoch, archive from archive_entries where date_diff('day', cast(strptime(epoch || '01', '%Y%m%d') + interval 1 month as date), date '1998-06-01') > 700")
 register("archive_summary", ("archive_entries",), lambda e: store.archive_summary(_live(e).withColumn("oldest_fetch", F.when(C("bytes") != 50, C("oldest_fetch")))).withColumn("oldest_fetch", C("oldest_fetch").cast("double")), f", {_LIVE.replace('select *', 'select * replace (case when bytes <> 50 then oldest_fetch end as oldest_fetch)')}, {_SUMMARY} select * replace (oldest_fetch::double as oldest_fetch) from summary")
 _FRESH = "fresh as (select 'z' || (user_id % 8)::varchar as zone, user_id as tile_id, fetched_ms // 86400000 - 9131 as fetched, digest from (select *, arrival % 2000 as user_id from tile_puts))"
 
@@ -55,8 +65,8 @@ register("merged_archives", ("archive_entries",), lambda e: store.merged(_live(e
 register("scrub", ("archive_entries",), lambda e: store.scrub(_live(e), C("digest") % 5 == 0)[1], f""", {_LIVE}, m as (select zone, tile_id, archive, digest % 5 = 0 as gone from live), t as (select zone, tile_id, arg_max(gone, archive) as newest_gone, bool_and(gone) as all_gone, count(*) filter (gone) as removed from m group by 1, 2)
   select zone, cast(sum(removed) as bigint) as removed, count(*) filter (newest_gone and not all_gone) as uncovered, count(*) filter (all_gone) as lost, max(coalesce(r, 0)) as rewritten from t left join (select zone, count(distinct archive) as r from m where gone group by 1) using (zone) group by 1""")
 register("scrubbed_entries", ("archive_entries",), lambda e: store.zone_listing(store.scrub(_live(e), C("digest") % 5 == 0)[0]), f", {_LIVE.replace(' <= 700)', ' <= 700 and digest % 5 <> 0)')}, {_LISTING} select * from listing")
-register("orphans", ("archive_entries",), lambda e: store.orphans(e.select("zone", "archive", "epoch").distinct(), _live(e).select("zone", "archive").distinct(), F.datediff(TODAY, grid.epoch_end(C("epoch"))), 900), "select distinct zone, archive, epoch from archive_entries where date_diff('day', cast(strptime(epoch || '01', '%Y%m%d') + interval 1 month as date), date '1998-06-01') > 900")
-register("due", ("archive_entries",), lambda e: store.due(store.archive_summary(e), TODAY, DAYS, 1247, **_HOW), f""", live as (select * from archive_entries), {_SUMMARY}, {_RUNS.format(ratio='1.2')},
+register("orphans", ("archive_entries",), lambda e: store.orphans(e.select("zone", "archive", "epoch").distinct(), _live(e).select("zone", "archive").distinct(), F.datediff(today(), grid.epoch_end(C("epoch"))), 900), "select distinct zone, archive, epoch from archive_entries where date_diff('day', cast(strptime(epoch || '01', '%Y%m%d') + interval 1 month as date), date '1998-06-01') > 900")
+register("due", ("archive_entries",), lambda e: store.due(store.archive_summary(e), today(), days(), 1247, **_HOW), f""", live as (select * from archive_entries), {_SUMMARY}, {_RUNS.format(ratio='1.2')},
   ends as (select distinct zone, epoch, date_diff('day', date '1995-01-01', cast(strptime(epoch || '01', '%Y%m%d') + interval 1 month as date)) + 700 as day from archive_entries), w as (select zone, day from ends union all select zone, 1247 from chosen join ends using (zone, epoch) where 1247 - (ends.day - 700) <= 700)
   select zone, cast(greatest(min(day), 1247) as bigint) as "at", count(*) as reasons from w group by 1""")
 register("tile_ladder", ("archive_entries", "absences"), lambda e, a: store.ladder(e, a, 0), """, c as (select zone, tile_id, max(newest_fetch) as fetched from archive_entries group by 1, 2), v as (select * from absences where expires > 0)
