@@ -21,9 +21,9 @@ from meridian.llm.common import cut
 
 #: The fit reads this many vectors at most, by hash of id; lists aim at LIST_ROWS vectors; there are CENTROIDS at most.
 SAMPLE, LIST_ROWS, CENTROIDS = 20_000, 200, 4096
-REPLICAS, CLOSURE, DEGREE = 4, 1.15, 24
+REPLICAS, CLOSURE, DEGREE = 2, 1.01, 24
 #: The prune ratio is set so that this share of a sample's true neighbours is in the lists searched.
-AIM, AIM_QUERIES = 0.94, 400
+AIM, AIM_QUERIES = 0.93, 400
 QUERY_BLOCK, LIST_BLOCK, BUFFER = 256, 2048, 200_000
 
 
@@ -69,8 +69,7 @@ class Index:
         leaves = split(v, -(-len(v) // lists), rng)
         self.centroids = np.stack([v[at].mean(axis=0) for at in leaves])
         c = len(self.centroids)
-        self.between = distances(self.centroids, self.centroids)
-        near = np.argsort(self.between, axis=1, kind="stable")[:, 1 : DEGREE + 1]
+        near = np.argsort(distances(self.centroids, self.centroids), axis=1, kind="stable")[:, 1 : DEGREE + 1]
         edges = [set(r.tolist()) for r in near]
         for i in range(c):  # both ways, and a ring that keeps the graph in one piece
             for j in near[i]:
@@ -97,21 +96,16 @@ class Index:
         return float(np.quantile(need, AIM)) + 1e-9
 
     def assign(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): the nearest centroid, and up to REPLICAS in all within CLOSURE of its distance, none closer to one already taken than to the vector."""
+        """(row, list): the nearest centroid, and for a vector near a boundary up to REPLICAS in all, those within CLOSURE of its distance."""
         out_r, out_c = [], []
         for s in range(0, len(vectors), 2048):
             d = distances(lift(vectors[s : s + 2048], self.most), self.centroids)
-            order = np.argsort(d, axis=1, kind="stable")[:, : 2 * REPLICAS]
-            for r in range(len(d)):
-                own = [order[r, 0]]
-                for c in order[r, 1:]:
-                    if len(own) == REPLICAS or d[r, c] > CLOSURE * d[r, own[0]]:
-                        break
-                    if all(self.between[c, o] > d[r, c] for o in own):
-                        own.append(c)
-                out_r += [s + r] * len(own)
-                out_c += own
-        return np.array(out_r, dtype=np.int64), np.array(out_c, dtype=np.int64)
+            order = np.argsort(d, axis=1, kind="stable")[:, :REPLICAS]
+            near = np.take_along_axis(d, order, axis=1)
+            r, c = np.nonzero(near <= CLOSURE * near[:, :1])
+            out_r.append(r + s)
+            out_c.append(order[r, c])
+        return np.concatenate(out_r), np.concatenate(out_c)
 
     def lists(self, q: np.ndarray, least_rows: int, rows: np.ndarray) -> np.ndarray:
         """Centroids within the prune ratio of the nearest, found by best-first steps over the graph.
@@ -214,7 +208,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = pack(postings.withColumn("share", share).repartition(parts, "list", "share").sortWithinPartitions("list", "share"), LIST_BLOCK, ("list", "share"))
     asked = usable(queries).where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec"))
-    asked = pack(asked.repartition(parts, "id").mapInArrow(ask, layout).repartition(parts, "list").sortWithinPartitions("list"), QUERY_BLOCK, ("list",))
+    asked = pack(asked.repartition(parts, F.xxhash64("id")).mapInArrow(ask, layout).repartition(parts, "list").sortWithinPartitions("list"), QUERY_BLOCK, ("list",))
     pairs = lists.select("list", "ids", "vecs").join(asked.select("list", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), "list")
 
     def run(batches):
