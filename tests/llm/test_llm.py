@@ -331,6 +331,25 @@ def test_posting_list_recall(spark):
     assert hits >= 0.9 * len(found)
 
 
+def test_posting_lists_of_clusters():
+    """Where vectors lie in clusters, replicated boundary vectors and pruning find nine of ten neighbours in a fifth of the vectors."""
+    rng = np.random.default_rng(4)
+    v = (rng.normal(size=(120, 24))[:, None] + 0.35 * rng.normal(size=(120, 60, 24))).reshape(-1, 24)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    index = posting_lists.Index(v, len(v), 20, 1.0)
+    rows, lists = index.assign(v)
+    n = np.bincount(lists, minlength=len(index.centroids))
+    assert 1.01 < len(rows) / len(v) <= posting_lists.REPLICAS and n.max() <= 4 * posting_lists.LIST_ROWS
+    hits, read = 0, 0
+    for i in range(0, len(v), 60):
+        asked = index.lists(v[i], 21, n)
+        s = v @ v[i]
+        s[i] = -9
+        hits += len(set(np.argpartition(-s, 19)[:20]) & set(rows[np.isin(lists, asked)]))
+        read += n[asked].sum()
+    assert hits >= 0.9 * 20 * 120 and read < 0.2 * len(v) * 120
+
+
 def test_large_vectors(spark):
     """Components near the greatest double: no square overflows on the way, every query has its full number of rows."""
     rows = [(i, [float(x) for x in 1e200 * np.random.default_rng(i).normal(size=8)]) for i in range(200)]
