@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from meridian import extensions
 from meridian.functions import colour, grid, text
-from meridian.operators import caches, images, light, measure, ranges, seams, series, solve, store
-from meridian.sources import archives, documents, fixed_width, logs, meshes, sidecar
+from meridian.operators import caches, edits, images, light, measure, ranges, seams, series, solve, store
+from meridian.sources import archives, datasets, documents, fixed_width, logs, meshes, sidecar
 from meridian.streaming import publish
 
 
@@ -326,3 +326,60 @@ def test_seams(spark):
     assert pairs == [(1, 0, 2, 2, 0.5), (1, 0, 2, 2, 0.5), (1, 3, 1, 0, 1.0)]
     bare = {(r.level, r.x, r.y, r.side): r.bare for r in seams.uncovered(d, "frame").collect()}
     assert (1, 0, 0, "south") not in bare and (1, 0, 0, "east") not in bare and bare[1, 0, 0, "north"] == 1 and bare[1, 3, 0, "west"] == 1
+
+
+def test_runs_resume(spark, tmp_path):
+    """A run stops at its budget, goes on where it stopped, shares its samples among ranks, and outputs are found by their keys."""
+    import pandas as pd
+
+    at = f"file://{tmp_path}/run"
+    samples = spark.range(40).select(F.col("id").alias("sample"))
+    assert datasets.results(spark, at).count() == 0 and datasets.output(spark, at, "f", "i", 3) is None
+
+    def work(b):
+        n = len(b)
+        return pd.DataFrame({"sample": b["sample"], "z": [1] * n, "x": [0] * n, "y": [0] * n, "input": ["i"] * n, "family": ["f"] * n, "scale": [2] * n, "seconds": [0.0] * n, "png": [b"p%d" % s for s in b["sample"]]})
+
+    first = datasets.run(samples, at, work, 0, 2, budget=0.0, batch=3)
+    assert 0 < first < 20
+    assert datasets.run(samples, at, work, 0, 2) == 20 - first and datasets.run(samples, at, work, 0, 2) == 0
+    assert datasets.run(samples, at, work, 1, 2) == 20
+    got = datasets.results(spark, at)
+    assert sorted(r.sample for r in got.collect()) == list(range(40)) and datasets.output(spark, at, "f", "i", 7) == b"p7"
+    assert datasets.local(got, got.select("launch").limit(1)).count() in (first, 20 - first, 20)
+    assert datasets.is_current(got, samples, ["sample"]) and not datasets.is_current(got, spark.range(41).select(F.col("id").alias("sample")), ["sample"])
+
+
+def test_datasets(spark, tmp_path):
+    for z, x, y in ((1, 0, 0), (1, 0, 1)):
+        (tmp_path / f"t/{z}/{x}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"t/{z}/{x}/{y}.jpg").write_bytes(b"old%d" % y)
+    (tmp_path / "t/notes.jpg").write_bytes(b"")
+    old = datasets.tile_tree(spark, f"file://{tmp_path}/t")
+    new = spark.createDataFrame([(1, 0, 1, b"new")], "z long, x long, y long, data binary")
+    assert sorted((r.y, bytes(r["data"])) for r in datasets.newest_first([new, old]).collect()) == [(0, b"old0"), (1, b"new")]
+    index = spark.createDataFrame([(1, "same"), (2, None), (3, "other")], "sample long, near string")
+    datasets.save_dataset(index, f"file://{tmp_path}/d", {"scale": 2}, ["a"], ["near"])
+    back, manifest = datasets.load_dataset(spark, f"file://{tmp_path}/d")
+    assert back.count() == 3 and manifest["samples"] == 3 and manifest["classes"]["near"] == {"same": 1, "tinted": 0, "other": 1}
+    datasets.report({"index": index}, f"file://{tmp_path}/r")
+    assert spark.read.option("header", "true").csv(f"file://{tmp_path}/r/index").count() == 3
+
+
+def test_edit_logs(spark):
+    rows = [("g", 1, 1, True, 0.0, 0.0, 1.0, 1.0), ("g", 2, 3, True, 0.0, 0.0, 9.0, 9.0), ("g", 3, 2, False, 0.0, 0.0, 9.0, 9.0), ("g", 4, 3, True, 3.5, 0.0, 4.5, 0.5), ("g", 5, 2, True, 0.0, 0.0, 1.0, 1.0)]
+    log = edits.judged(spark.createDataFrame(rows, "ground string, arrival long, seq long, valid boolean, x0 double, y0 double, x1 double, y1 double"), "ground")
+    assert [r.outcome for r in log.orderBy("arrival").collect()] == ["applied", "gap", "consumed", "applied", "stale"]
+    assert sorted((r.tx, r.ty, r.version) for r in edits.versions(log, "ground", 16.0, 2).collect()) == [(0, 0, 2), (1, 0, 1)]
+    a, b = edits.replica_digest(log, "ground").first(), edits.replica_digest(log.where("outcome in ('applied', 'consumed')"), "ground").first()
+    assert a == b and a.last == 3 and edits.replica_digest(log.where("seq < 3"), "ground").first().digest != a.digest
+    events = spark.createDataFrame([(1, "a", 1, "loaded"), (1, "a", 1, "loaded"), (1, "b", 1, "loaded"), (2, "c", 4, "failed")], "step long, resource string, generation long, kind string")
+    loads = spark.createDataFrame([("a", 1), ("b", 2)], "resource string, generation long")
+    assert sorted((r.resource, r.stale) for r in edits.settled(events, loads).collect()) == [("a", False), ("a", True), ("b", True), ("c", True)]
+    late = spark.createDataFrame([("a", 0, None), ("b", 90, 50), ("c", 90, 95)], "resource string, started long, unneeded_since long")
+    assert sorted(map(tuple, edits.overdue(late, 100, 100, 50).collect())) == [("a", "timeout"), ("b", "unneeded")]
+    assert edits.eased(np.array([0.0, 4.0, 4.0]), 0.5).tolist() == [0, 2, 3]
+    t = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0), (2, 10.0, 0.0, 0.0, 1.0)], "tile long, x double, y double, z double, radius double")
+    assert sorted(map(tuple, edits.nearest_content(t, [(0.0, 0.0, 0.0), (5.0, 0.0, 0.0)]).collect())) == [(1, 1.0), (2, 4.0)]
+    w = spark.createDataFrame([(9, [4, 1]), (8, [3, 1]), (7, [])], "tile long, chain array<long>")
+    assert sorted((r.tile, r.stand_in, r.role) for r in edits.stand_ins(w, spark.createDataFrame([(9,), (1,)], "tile long")).collect()) == [(7, None, "lost"), (8, 1, "fallback"), (9, 9, "exact")]
