@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import written
+from meridian.llm.common import remove, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,13 +13,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round hooks every vertex to its least neighbour, follows parents twice
     and contracts the edges, so the vertex count at least halves; every step
-    is written in the shared folder and read again, so that neither lineage nor size estimates grow. Only vertices with an edge to another
+    is written in the shared folder and read again, so that neither lineage nor size estimates grow; what the result doesn't read is removed at the end. Only vertices with an edge to another
     vertex appear. Nulls, self loops and repeated edges are ignored; no edges give an empty table.
     """
-    spark = edges.sparkSession
+    spark, made, kept = edges.sparkSession, [], None
 
     def cut(df: DataFrame) -> DataFrame:
-        return written(df, "components")[0]
+        out, path = written(df, "components")
+        made.append(path)
+        return out
 
     def tidy(df: DataFrame) -> DataFrame:
         return cut(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -34,14 +36,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
             parent = cut(parent.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")))
         if labels is None:
-            labels = parent.select("v", F.col("p").alias("label"))
+            labels, kept = parent.select("v", F.col("p").alias("label")), made[-1]
         else:
             step = parent.select(F.col("v").alias("label"), F.col("p").alias("next"))
             labels = cut(labels.join(step, "label", "left").select("v", F.coalesce("next", "label").alias("label")))
+            kept = made[-1]
         pa = parent.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         pb = parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         rest = tidy(rest.join(pa, "a").join(pb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
     else:
         if not rest.isEmpty():
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    for path in made:
+        if path != kept:
+            remove(spark, path)
     return labels if labels is not None else spark.createDataFrame([], "v long, label long")
