@@ -25,6 +25,8 @@ REPLICAS, CLOSURE, DEGREE = 2, 1.01, 24
 #: The prune ratio is set so that this share of a sample's true neighbours is in the lists searched.
 AIM, AIM_QUERIES = 0.93, 400
 QUERY_BLOCK, LIST_BLOCK, BUFFER = 256, 2048, 200_000
+#: Distances are made so many at a time, so that neither the fit nor a task holds a whole table of them.
+AT_ONCE = 500_000
 
 
 def lift(v: np.ndarray, most: float) -> np.ndarray:
@@ -47,9 +49,11 @@ def split(v: np.ndarray, leaf: int, rng) -> list[np.ndarray]:
             out.append(at)
             continue
         a = v[at[rng.integers(len(at))]]
+        step = max(1, AT_ONCE // v.shape[1])
+        shares = [at[s : s + step] for s in range(0, len(at), step)]
         for _ in range(2):
-            b, a = a, v[at[np.argmax(((v[at] - a) ** 2).sum(axis=1))]]
-        order = np.argsort((v[at] @ (a - b)), kind="stable")
+            b, a = a, v[at[np.argmax(np.concatenate([((v[x] - a) ** 2).sum(axis=1) for x in shares]))]]
+        order = np.argsort(np.concatenate([v[x] @ (a - b) for x in shares]), kind="stable")
         todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
     return out
 
@@ -58,6 +62,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
+def blocks(n: int, width: int):
+    """Slices of ``n`` rows whose distances to ``width`` others are AT_ONCE at most, or a row's."""
+    step = max(1, AT_ONCE // max(1, width))
+    return (slice(s, min(n, s + step)) for s in range(0, n, step))
+
+
 class Index:
     """Centroids, their graph and the prune ratio: all that a task needs, of bounded size."""
 
@@ -69,7 +79,7 @@ class Index:
         leaves = split(v, -(-len(v) // lists), rng)
         self.centroids = np.stack([v[at].mean(axis=0) for at in leaves])
         c = len(self.centroids)
-        near = np.argsort(distances(self.centroids, self.centroids), axis=1, kind="stable")[:, 1 : DEGREE + 1]
+        near = np.concatenate([np.argsort(distances(self.centroids[at], self.centroids), axis=1, kind="stable")[:, 1 : DEGREE + 1] for at in blocks(c, c)])
         edges = [set(r.tolist()) for r in near]
         for i in range(c):  # both ways, and a ring that keeps the graph in one piece
             for j in near[i]:
@@ -80,30 +90,35 @@ class Index:
 
     def calibrate(self, sample: np.ndarray, v: np.ndarray, k: int, rng) -> float:
         at = rng.permutation(len(sample))[:AIM_QUERIES]
-        q = sample[at]
-        truth = q @ sample.T
-        truth[np.arange(len(at)), at] = -np.inf
         k = min(k, len(sample) - 1)
         if k < 1:
             return 1e9
         rows, lists = self.assign(sample)
-        d = distances(lift_query(q, self.most), self.centroids)
-        least = d.min(axis=1)
         need = []
-        for i in range(len(at)):
-            for j in np.argpartition(-truth[i], k - 1)[:k]:
-                need.append(d[i, lists[rows == j]].min() / max(least[i], 1e-12))
+        for part in blocks(len(at), len(sample)):
+            own = at[part]
+            truth = sample[own] @ sample.T
+            truth[np.arange(len(own)), own] = -np.inf
+            d = distances(lift_query(sample[own], self.most), self.centroids)
+            least = d.min(axis=1)
+            for i in range(len(own)):
+                for j in np.argpartition(-truth[i], k - 1)[:k]:
+                    need.append(d[i, lists[rows == j]].min() / max(least[i], 1e-12))
         return float(np.quantile(need, AIM)) + 1e-9
 
     def assign(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list): the nearest centroid, and for a vector near a boundary up to REPLICAS in all, those within CLOSURE of its distance."""
         out_r, out_c = [], []
-        for s in range(0, len(vectors), 2048):
-            d = distances(lift(vectors[s : s + 2048], self.most), self.centroids)
-            order = np.argsort(d, axis=1, kind="stable")[:, :REPLICAS]
-            near = np.take_along_axis(d, order, axis=1)
+        for at in blocks(len(vectors), len(self.centroids)):
+            d = distances(lift(vectors[at], self.most), self.centroids)
+            every, order, near = np.arange(len(d)), [], []
+            for _ in range(min(REPLICAS, d.shape[1])):
+                order.append(np.argmin(d, axis=1))
+                near.append(d[every, order[-1]])
+                d[every, order[-1]] = np.inf
+            order, near = np.stack(order, axis=1), np.stack(near, axis=1)
             r, c = np.nonzero(near <= CLOSURE * near[:, :1])
-            out_r.append(r + s)
+            out_r.append(r + at.start)
             out_c.append(order[r, c])
         return np.concatenate(out_r), np.concatenate(out_c)
 
@@ -145,6 +160,19 @@ class Index:
         return np.union1d(near, order[:enough])
 
 
+def fit_rows(usable: DataFrame, n: int) -> DataFrame:
+    """``vec`` of the SAMPLE of ``n`` rows that are least by hash of id.
+
+    Only rows whose hash is low are put in order, some twice SAMPLE; where ids repeat so much that too few are low, all are.
+    """
+    h, rows = F.xxhash64("id"), usable
+    if n > 2 * SAMPLE:
+        low = usable.where(h < F.lit(-(1 << 63) + int((1 << 64) * (2 * SAMPLE / n))))
+        if low.count() >= SAMPLE:
+            rows = low
+    return rows.orderBy(h, "id").limit(SAMPLE).select("vec")
+
+
 def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found by inner product, ties to the smaller id.
 
@@ -167,12 +195,14 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec
     if shape is None:
         return spark.createDataFrame([], schema)
     all_ = all_.where(F.size("vec") == shape.dim)
-    sample = all_.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()  # SAMPLE rows at most
+    sample = fit_rows(all_, shape.n).toArrow().column("vec").combine_chunks()  # SAMPLE rows at most, as one array of numbers
+    sample = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, shape.dim)
     # lists are found for vectors over the greatest component, so that no square overflows; scores are of the vectors as they are
     unit, dim = shape.unit, shape.dim
     squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / F.lit(unit)) * (x / F.lit(unit)))
     most = float(np.sqrt(all_.agg(F.max(squares)).first()[0]))
-    index = spark.sparkContext.broadcast(Index(np.array([r.vec for r in sample]) / unit, shape.n, k, most))
+    index = spark.sparkContext.broadcast(Index(sample / unit, shape.n, k, most))
+    del sample
 
     def vectors(b):
         return b.column(0).to_numpy(), b.column(1).values.to_numpy(zero_copy_only=False)[b.column(1).offsets[0].as_py() :][: b.num_rows * dim].reshape(-1, dim)

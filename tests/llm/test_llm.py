@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -350,6 +351,22 @@ def test_posting_lists_of_clusters():
     assert hits >= 0.9 * 20 * 120 and read < 0.2 * len(v) * 120
 
 
+def test_posting_lists_fit_in_little_memory(spark, monkeypatch):
+    """The fit of a table of millions of vectors holds a small part of the distances at a time; its sample is the least by hash, of few rows put in order."""
+    v = np.random.default_rng(4).normal(size=(8000, 8))
+    tracemalloc.start()
+    index = posting_lists.Index(v, 2_000_000, 20, float(np.sqrt((v * v).sum(axis=1).max())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index.centroids) > 1900 and peak < 60e6
+    monkeypatch.setattr(posting_lists, "SAMPLE", 50)
+    df = spark.range(1000).select("id", F.array(F.col("id").cast("double")).alias("vec"))
+    want = [r.vec for r in df.orderBy(F.xxhash64("id"), "id").limit(50).collect()]
+    assert [r.vec for r in posting_lists.fit_rows(df, 1000).collect()] == want
+    same = df.withColumn("id", F.lit(7).cast("long"))
+    assert posting_lists.fit_rows(same, 1000).count() == 50
+
+
 def test_large_vectors(spark):
     """Components near the greatest double: no square overflows on the way, every query has its full number of rows."""
     rows = [(i, [float(x) for x in 1e200 * np.random.default_rng(i).normal(size=8)]) for i in range(200)]
