@@ -286,6 +286,41 @@ def test_large_families_of_lines(spark):
     assert all(find(r.doc_id) == find(r.dropped[0].as_doc) for r in found)
 
 
+def test_no_link_within_a_bucket_is_lost(spark, monkeypatch):
+    """Any two similar lines that share a key are joined, also in large buckets of many components, where neither meets a centre; nothing else is joined."""
+    rng, texts = random.Random(21), set()
+    for _ in range(3):
+        base = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(60)]
+        for _ in range(250):
+            own = list(base)
+            for at in rng.sample(range(60), rng.randint(2, 9)):
+                own[at] = "".join(rng.choices("abcdefghijklmnop", k=5))
+            texts.add(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(sorted(texts))), "doc_id long, text string").cache()
+    sig = line_dedup.signed(docs, line_dedup.lines(docs).drop("line"))
+    line = {r.l: r.line for r in line_dedup.lines(docs).select("l", "line").collect()}
+    sets = {x: {t[i : i + 8] for i in range(len(t) - 7)} for x, t in line.items()}
+    buckets, parent = {}, {x: x for x in line}
+    for r in line_dedup._banded(sig, line_dedup.BANDS).select("key", "l").collect():
+        buckets.setdefault(r.key, []).append(r.l)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in {(a, b) for own in buckets.values() for a in own for b in own if a < b}:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    want = {x: find(x) for x in line if sum(find(y) == find(x) for y in line) > 1}
+    assert max(map(len, buckets.values())) > 8 * line_dedup.SMALL and len(want) - len(set(want.values())) > 100
+    assert {r.v: r.label for r in line_dedup.links(sig, docs).collect()} == want
+    for name, value in (("CENTRE", 16), ("CENTRES", 1), ("COMPARED", 100)):  # the number of centres changes nothing, nor that of tasks
+        monkeypatch.setattr(line_dedup, name, value, raising=False)
+    assert {r.v: r.label for r in line_dedup.links(sig, docs).collect()} == want
+
+
 def joined_lines(spark, texts):
     """Whether each text, as a document of one line, is dropped for the first one."""
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
