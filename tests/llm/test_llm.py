@@ -321,6 +321,31 @@ def test_no_link_within_a_bucket_is_lost(spark, monkeypatch):
     assert {r.v: r.label for r in line_dedup.links(sig, docs).collect()} == want
 
 
+def test_bitmaps_allow_all_similar_lines(spark):
+    """Bitmaps are made without strings, of the very shingles that are compared (by code points); they allow all similar pairs and few others."""
+    rng, texts, letters = random.Random(31), [], "abcdefgh ijklm nopqé日\U0001f600\U0001f601"
+    for n in (3, 8, 9, 40, 150, 700, 5000):
+        for _ in range(8):
+            base = [rng.choice(letters) for _ in range(n)]
+            texts.append("".join(base))
+            for share in (0.003, 0.006, 0.01):
+                own = list(base)
+                for at in rng.sample(range(n), max(1, round(n * share))):
+                    own[at] = rng.choice(letters)
+                texts.append("".join(own))
+    texts = sorted({*texts, "-" * 24, "-" * 300, "ha " * 20, "ha " * 90, "\U0001f600" * 12, "\U0001f600" * 50})
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "l long, line string")
+    assert {r.l: set(r.x) for r in df.select("l", line_dedup.shingles(F.col("line")).alias("x")).collect()} == dict(enumerate(sets))
+    bits = line_dedup._bits(df)
+    assert "regexp" not in bits._jdf.queryExecution().optimizedPlan().toString()
+    bits = bits.cache()
+    allowed = {tuple(r) for r in bits.alias("x").join(bits.alias("y"), F.expr("x.l < y.l")).where(line_dedup._may("x", "y")).select("x.l", "y.l").collect()}
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    similar = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(similar) > 50 and similar <= allowed and len(allowed) < 0.05 * len(pairs) + len(similar)
+
+
 def joined_lines(spark, texts):
     """Whether each text, as a document of one line, is dropped for the first one."""
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
