@@ -239,7 +239,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec
     lists = pack(postings.withColumn("share", share).repartition(parts, "list", "share").sortWithinPartitions("list", "share"), LIST_BLOCK, ("list", "share"))
     asked = usable(queries).where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec"))
     asked = pack(asked.repartition(parts, F.xxhash64("id")).mapInArrow(ask, layout).repartition(parts, "list").sortWithinPartitions("list"), QUERY_BLOCK, ("list",))
-    pairs = lists.select("list", "ids", "vecs").join(asked.select("list", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), "list")
+    # a query is sent to many lists, which Spark's estimate of ``asked`` leaves out: without the hint it may be broadcast, however large
+    pairs = lists.select("list", "ids", "vecs").join(asked.select("list", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")).hint("merge"), "list")
 
     def run(batches):
         held, size, limit = [], 0, BUFFER

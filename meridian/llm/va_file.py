@@ -125,7 +125,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
     file = file.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
     file = file.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     q = q.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    pairs = q.join(file, ["dim", "block", "share"]).select("block", "share", "dim", "q_ids", "q_vecs", "ids", "vecs", "codes", "lo", "hi")
+    # both sides are exploded, which Spark's estimates leave out: without the hint one may be broadcast, however large
+    pairs = q.join(file.hint("merge"), ["dim", "block", "share"]).select("block", "share", "dim", "q_ids", "q_vecs", "ids", "vecs", "codes", "lo", "hi")
 
     def run(batches):
         at, state = None, {}

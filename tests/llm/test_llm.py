@@ -392,6 +392,15 @@ def test_posting_list_recall(spark):
     assert hits >= 0.9 * len(found)
 
 
+@pytest.mark.parametrize("search", [posting_lists.search, va_file.top_k])
+def test_vectors_are_not_broadcast(spark, search):
+    """What a query's vector is copied to isn't in Spark's estimates, so the join that follows must not go by them."""
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    found = search(df.where("vec_id % 20 = 0"), df, 5)
+    found.write.format("noop").mode("overwrite").save()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
+
+
 def test_posting_lists_of_clusters():
     """Where vectors lie in clusters, replicated boundary vectors and pruning find nine of ten neighbours in a fifth of the vectors."""
     rng = np.random.default_rng(4)
