@@ -10,11 +10,25 @@ from pyspark.sql import functions as F
 
 from meridian import extensions
 from meridian.functions import colour, grid, text
-from meridian.operators import caches, edits, images, light, measure, ranges, seams, series, solve, store
+from meridian.operators import caches, edits, frames, images, light, measure, ranges, seams, series, solve, store
 from meridian.sources import archives, datasets, documents, fixed_width, logs, meshes, sidecar
 from meridian.streaming import publish
 
 
+def nodes(plan):
+    """All nodes of a plan that was run, those of its stages among them."""
+    name = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return [plan] + [n for p in inner for n in nodes(p)]
+
+
+def rows_out(df, kind):
+    """The rows that each node of a kind gave when ``df`` was written."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return [n.metrics().apply("numOutputRows").value() for n in nodes(df._jdf.queryExecution().executedPlan()) if kind in n.getClass().getSimpleName()]
+
+
 def test_archive_ids(spark):
     """Known ids of the curve, and each address back from its id, at every level."""
     rows = [("web-mercator", z, x, y) for z in range(4) for x in range(1 << z) for y in range(1 << z)] + [("geographic", 0, 1, 0), ("web-mercator", 31, 2**31 - 1, 5), ("geographic", 30, 2**31 - 1, 2**30 - 1), ("web-mercator", 2, 4, 0), ("geographic", 31, 0, 0)]
@@ -383,3 +397,18 @@ def test_edit_logs(spark):
     assert sorted(map(tuple, edits.nearest_content(t, [(0.0, 0.0, 0.0), (5.0, 0.0, 0.0)]).collect())) == [(1, 1.0), (2, 4.0)]
     w = spark.createDataFrame([(9, [4, 1]), (8, [3, 1]), (7, [])], "tile long, chain array<long>")
     assert sorted((r.tile, r.stand_in, r.role) for r in edits.stand_ins(w, spark.createDataFrame([(9,), (1,)], "tile long")).collect()) == [(7, None, "lost"), (8, 1, "fallback"), (9, 9, "exact")]
+
+
+def test_nearest_views_of_dense_cameras(spark):
+    """Dense, sparse and standing cameras: the nearest of all, the first of equals; and a dense place isn't compared pair by pair."""
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.random((4000, 3)) * [30, 30, 0], np.full((500, 3), 7.0), rng.random((40, 3)) * 4000])
+    asks = np.concatenate([rng.random((3000, 3)) * [30, 30, 0], rng.random((40, 3)) * 4000, [[1e6, 0, 0], [7, 7, 7]]])
+    v, a = ([(i, *map(float, p)) for i, p in enumerate(x)] for x in (at, asks))
+    found = frames.nearest_view(spark.createDataFrame(v, "frame long, x double, y double, z double"), spark.createDataFrame(a, "ask long, x double, y double, z double"), 900.0)
+    d = np.sqrt(((asks[:, None] - at[None]) ** 2).sum(axis=2))
+    want = {i: int(r.argmin()) for i, r in enumerate(d) if r.min() <= 900}
+    got = {r.ask: r for r in found.collect()}
+    assert got.keys() == want.keys() and len(want) < len(asks) and got[len(asks) - 1].frame == 4000
+    assert all(abs(r.metres - d[i].min()) < 1e-9 for i, r in got.items()) and sum(r.frame == want[i] for i, r in got.items()) >= len(want) - 2
+    assert max(rows_out(found, "Join")) < 20 * len(asks)
