@@ -4,13 +4,15 @@ import gzip
 import hashlib
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meridian import extensions
 from meridian.functions import colour, grid, text
-from meridian.operators import caches, edits, frames, images, light, measure, ranges, seams, series, solve, store
+from meridian.operators import caches, edits, frames, images, light, measure, ranges, seams, series, solve, store, terrain
+from meridian.plans import registry
 from meridian.sources import archives, datasets, documents, fixed_width, logs, meshes, sidecar
 from meridian.streaming import publish
 
@@ -412,3 +414,39 @@ def test_nearest_views_of_dense_cameras(spark):
     assert got.keys() == want.keys() and len(want) < len(asks) and got[len(asks) - 1].frame == 4000
     assert all(abs(r.metres - d[i].min()) < 1e-9 for i, r in got.items()) and sum(r.frame == want[i] for i, r in got.items()) >= len(want) - 2
     assert max(rows_out(found, "Join")) < 20 * len(asks)
+
+
+def test_boxes_of_any_size(spark, monkeypatch):
+    """Points in boxes by brute force, edges included, whether squares come to the driver or not; dense boxes aren't compared with each point."""
+    rng = np.random.default_rng(8)
+    low = rng.integers(0, 200, (300, 2))
+    boxes = np.concatenate([low, low + rng.integers(0, 90, (300, 2))], axis=1)
+    points = rng.integers(0, 300, (2000, 2))
+    inside = ((points[:, None] >= boxes[None, :, :2]) & (points[:, None] <= boxes[None, :, 2:])).all(axis=2).any(axis=1)
+    b = spark.createDataFrame([(i % 2, *map(float, r)) for i, r in enumerate(boxes)] + [(None, 0.0, 0.0, 9.0, 9.0)], "level long, x0 double, y0 double, x1 double, y1 double")
+    p = spark.createDataFrame([(k, i, *map(float, r)) for i, r in enumerate(points) for k in (0, 1)], "level long, id long, px double, py double")
+    of = ((points[:, None] >= boxes[None, :, :2]) & (points[:, None] <= boxes[None, :, 2:])).all(axis=2)
+    want = sorted((k, i) for i in range(len(points)) for k in (0, 1) if of[i, k::2].any())
+    for most in (10**6, 3):
+        monkeypatch.setattr(ranges, "SQUARES", most)
+        assert sorted((r.level, r.id) for r in ranges.within(p, b, ["level"], 16.0).collect()) == want and inside.any()
+    found = terrain.covered(*(spark.range(400).select(F.col("id").alias("rect"), (F.col("id") % 7 * 0.01).alias("west"), F.lit(0.0).alias("south"), (F.col("id") % 5 * 0.01 + n).alias("east"), F.lit(n).alias("north")) for n in (8.0, 9.0)), 5.0)
+    assert found.count() == 400
+    assert max(rows_out(found, "Join")) < 100_000  # 800,000 pairs
+
+
+def test_footprints_by_cubes(spark):
+    """The tiles that eyes reach, by all pairs, at the poles and beside the date line too; no join without keys."""
+    rng = np.random.default_rng(9)
+    e = [(float(a), float(b), float(h)) for a, b, h in zip(rng.uniform(-180, 180, 40), rng.uniform(-90, 90, 40), rng.uniform(-100, 60_000, 40))] + [(179.99, 89.9, 9000.0), (-179.99, -60.0, 100.0)]
+    t = [("geographic", z, x, y) for z in (0, 3, 4) for x in range(2 << z) for y in range(1 << z)] + [("web-mercator", z, x, y) for z in (0, 2, 5) for x in range(1 << z) for y in range(1 << z)]
+    eyes, tiles_ = spark.createDataFrame(e, "lon double, lat double, height double"), spark.createDataFrame(t, "grid string, level long, x long, y long")
+    kept = measure.footprint_keeps(tiles_, eyes)
+    got = sorted(tuple(r) for r in kept.collect())
+    con = duckdb.connect()
+    con.register("addresses", tiles_.toPandas())
+    con.register("eyes", eyes.toPandas())
+    sql = registry.ORACLE["footprint_keeps"].replace(" where level between 2 and 9", "")
+    want = sorted(map(tuple, con.sql("with k as " + sql.split(", k as ", 1)[1]).fetchall()))
+    assert got == want and 0 < len(want) < len(t)
+    assert not any("NestedLoop" in n.getClass().getSimpleName() and "Semi" in n.toString() for n in nodes(kept._jdf.queryExecution().executedPlan()))
