@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from meridian import extensions
 from meridian.functions import colour, grid, text
-from meridian.operators import caches, edits, frames, images, light, measure, ranges, seams, series, solve, store, terrain
+from meridian.operators import caches, deal, edits, frames, images, light, measure, ranges, seams, series, solve, store, terrain
 from meridian.plans import registry
+from meridian.plans.views import view
 from meridian.sources import archives, datasets, documents, fixed_width, logs, meshes, sidecar
 from meridian.streaming import publish
 
@@ -450,3 +451,18 @@ def test_footprints_by_cubes(spark):
     want = sorted(map(tuple, con.sql("with k as " + sql.split(", k as ", 1)[1]).fetchall()))
     assert got == want and 0 < len(want) < len(t)
     assert not any("NestedLoop" in n.getClass().getSimpleName() and "Semi" in n.toString() for n in nodes(kept._jdf.queryExecution().executedPlan()))
+
+
+def test_films_are_dealt(spark, monkeypatch):
+    """Frames far apart follow each other; only runs are ordered by one task; a large film goes to more tasks than the session's, a tile's use needs no row moved."""
+    f = [0, 1, 5, 70_000, 70_001, 10**7, -3, -200_000]
+    film = spark.createDataFrame([(i, i % 3, 0) for i in f] + [(i, 9, 1) for i in f] * 2, "frame long, tile_id long, drape long")
+    assert {r.frame: r.next for r in frames.following(film).collect()} == dict(zip(sorted(f), sorted(f)[1:] + [None]))
+    diff = {r.frame: (r.entered, r["left"], r.kept) for r in measure.frame_diff(film).collect()}
+    assert diff[-200_000] == (2, 0, 0) and diff[70_000] == (1, 1, 1) and len(diff) == len(f)
+    for found in (frames.changes(film), measure.frame_diff(film)):
+        windows = [n.toString() for n in nodes(found._jdf.queryExecution().sparkPlan()) if n.getClass().getSimpleName() == "WindowExec" and n.partitionSpec().isEmpty()]
+        assert len(windows) == 1 and "run" in windows[0].split("windowspecdefinition")[1]
+    monkeypatch.setattr(deal, "TASK_BYTES", 2000)
+    made = view(spark, "/root/testdata/sf0.001", "pack_frames")
+    assert deal.tasks(made) > 50 and made.rdd.getNumPartitions() > 50 and frames.compared(made, made).rdd.getNumPartitions() > 50
