@@ -466,3 +466,31 @@ def test_films_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(deal, "TASK_BYTES", 2000)
     made = view(spark, "/root/testdata/sf0.001", "pack_frames")
     assert deal.tasks(made) > 50 and made.rdd.getNumPartitions() > 50 and frames.compared(made, made).rdd.getNumPartitions() > 50
+
+
+def test_work_is_done_once(spark, monkeypatch):
+    """A black body's spectrum is summed once for its three channels, the curve is walked four bits at a time, boxes and listings are dealt before they grow."""
+    d = spark.range(3).select((F.col("id") * 1000.0 + 3000).alias("k"), F.col("id").alias("x"))
+    bodies = d.select(*[c.alias(n) for n, c in zip("rgb", colour.body_colour(F.col("k")))])
+    assert bodies._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 3
+    rows = [(z, x, y) for z in range(7) for x in range(1 << z) for y in range(1 << z)]
+
+    def along(z, x, y):
+        d = 0
+        for i in range(z - 1, -1, -1):
+            side, rx, ry = 1 << i, x >> i & 1, y >> i & 1
+            d += side * side * ((3 * rx) ^ ry)
+            x, y = x & (side - 1), y & (side - 1)
+            if not ry:
+                x, y = (side - 1 - y, side - 1 - x) if rx else (y, x)
+        return d
+
+    found = spark.createDataFrame(rows, "z long, x long, y long").select("*", grid.hilbert(F.col("z"), F.col("x"), F.col("y")).alias("d"))
+    assert all(r.d == along(r.z, r.x, r.y) for r in found.collect()) and "CEIL" in found._jdf.queryExecution().optimizedPlan().toString()
+    h = spark.range(100).select((F.col("id") % 10).alias("col"), F.floor(F.col("id") / 10).alias("row"), F.lit(2.0).alias("h"))
+    boxes = spark.range(5, numPartitions=1).select(F.col("id").alias("box"), F.lit(5.0).alias("x"), F.lit(4.0).alias("y"), F.lit(2.0).alias("across"), F.lit(2.0).alias("down"))
+    means = terrain.box_means(h, boxes)
+    assert {r["mean"] for r in means.collect()} == {2.0}
+    assert any(n.getClass().getSimpleName() == "GenerateExec" and "Exchange hashpartitioning(box" in n.toString() for n in nodes(means._jdf.queryExecution().executedPlan().inputPlan()))
+    monkeypatch.setattr(deal, "TASK_BYTES", 2000)
+    assert store.zone_listing(view(spark, "/root/testdata/sf0.001", "archive_entries")).rdd.getNumPartitions() > 50
