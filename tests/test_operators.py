@@ -494,3 +494,24 @@ def test_work_is_done_once(spark, monkeypatch):
     assert any(n.getClass().getSimpleName() == "GenerateExec" and "Exchange hashpartitioning(box" in n.toString() for n in nodes(means._jdf.queryExecution().executedPlan().inputPlan()))
     monkeypatch.setattr(deal, "TASK_BYTES", 2000)
     assert store.zone_listing(view(spark, "/root/testdata/sf0.001", "archive_entries")).rdd.getNumPartitions() > 50
+
+
+def test_ranges_are_merged_by_shares(spark, monkeypatch):
+    """Runs over many shares, ranges within others, gaps of a whole share, null keys; no task puts a whole key in order."""
+    monkeypatch.setattr(ranges, "SHARE_BITS", 4)
+    rng = np.random.default_rng(11)
+    rows = [(k, int(a), int(a + n)) for k in ("a", "b", None) for a, n in zip(rng.integers(-300, 2000, 150), rng.choice([0, 3, 9, 120], 150, p=[0.4, 0.3, 0.25, 0.05]))]
+    want = []
+    for k in ("a", "b", None):
+        out = []
+        for a, b in sorted((a, b) for key, a, b in rows if key == k):
+            if out and a <= out[-1][2] + 1:
+                out[-1][2] = max(out[-1][2], b)
+            else:
+                out.append([k, a, b])
+        want += out
+    found = ranges.merged(spark.createDataFrame(rows, "k string, start long, end long"), "k")
+    order = lambda r: (str(r[0]), r[1])
+    assert found.columns == ["k", "start", "end"] and sorted(map(list, found.collect()), key=order) == sorted(want, key=order)
+    windows = [n.toString() for n in nodes(found._jdf.queryExecution().sparkPlan()) if n.getClass().getSimpleName() == "WindowExec"]
+    assert windows and all("share" in t for t in windows)
